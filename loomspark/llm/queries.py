@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, simhash
+from loomspark.llm import bpe, language, quality, simhash
 
 
 def queries():
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op3_simhash": simhash.op3_simhash,
+        "op4_language": language.op4_language,
+        "op5_quality": quality.op5_quality,
     }
 
 
