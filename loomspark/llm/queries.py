@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, language, quality, simhash
+from loomspark.llm import bpe, language, packing, quality, simhash, webp
 
 
 def queries():
@@ -11,6 +11,8 @@ def queries():
         "op3_simhash": simhash.op3_simhash,
         "op4_language": language.op4_language,
         "op5_quality": quality.op5_quality,
+        "op6_packing": packing.op6_packing,
+        "op8_webp": webp.op8_webp,
     }
 
 
