@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, language, packing, quality, simhash, webp
+from loomspark.llm import bpe, digest, language, licenses, packing, quality, secrets, simhash, webp
 
 
 def queries():
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op2_secrets": secrets.op2_secrets,
         "op3_simhash": simhash.op3_simhash,
         "op4_language": language.op4_language,
         "op5_quality": quality.op5_quality,
         "op6_packing": packing.op6_packing,
+        "op7_digest": digest.op7_digest,
         "op8_webp": webp.op8_webp,
+        "op9_licenses": licenses.op9_licenses,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op9_licenses": licenses.ORACLE}
