@@ -42,7 +42,9 @@ TEMPLATES = (
 THRESHOLD = 0.8
 #: Words of lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_NOT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words. A class of ranges is a bit table to the regex engine, a negated one a chain of
+#: predicates, so texts are split between words.
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 
 def _q(text: str) -> str:
@@ -53,6 +55,10 @@ def _array(words) -> str:
     return f"array({', '.join(map(_q, words))})" if words else "CAST(array() AS array<string>)"
 
 
+def _words(text: str) -> str:
+    return f"array_remove(split({text}, {_q(_BETWEEN + '+')}, -1), '')"
+
+
 def template_words(templates=TEMPLATES) -> dict[str, list[str]]:
     import re
 
@@ -61,7 +67,7 @@ def template_words(templates=TEMPLATES) -> dict[str, list[str]]:
 
 def frequencies(df: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """In how many of the texts in ``lower`` each word of the fixed vocabulary stands: a row for each word at most."""
-    met = df.select(F.explode(F.expr(f"array_intersect(regexp_extract_all(lower, {_q(WORD)}, 0), {_array(vocabulary)})")).alias("word"))
+    met = df.select(F.explode(F.expr(f"array_intersect({_words('lower')}, {_array(vocabulary)})")).alias("word"))
     return {r["word"]: r["n"] for r in met.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
@@ -87,7 +93,7 @@ def join_blocks(df: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
     lines = f"filter(split(lower, '\\n'), b -> b RLIKE {_q('(?:' + some + ')')})"
     df = df.withColumn("_lines", F.expr(f"CASE WHEN lower RLIKE {_q('(?:' + some + ')')} THEN {lines} ELSE CAST(array() AS array<string>) END"))
     # the words of a line that any template has, in the global order
-    df = df.withColumn("_sets", F.expr(f"filter(transform(_lines, b -> array_intersect({_array(order)}, regexp_extract_all(b, {_q(WORD)}, 0))), s -> size(s) >= {least})"))
+    df = df.withColumn("_sets", F.expr(f"filter(transform(_lines, b -> array_intersect({_array(order)}, {_words('b')})), s -> size(s) >= {least})"))
     tables = ", ".join(f"named_struct('label', {_q(label)}, 'words', {_array(words)}, 'prefix', {_array(prefix[label])}, 'need', {need[label]})" for label, words in sorted(ranked.items()))
     pairs = f"""flatten(transform(_sets, s -> transform(filter(array({tables}), t ->
         size(s) >= t.need
@@ -100,12 +106,13 @@ def join_blocks(df: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
 
 def phrases(df: DataFrame, wanted=PHRASES) -> DataFrame:
     """Adds ``n_words`` and ``places``: (word, label) of every place where a phrase's words stand one behind the other."""
-    df = df.withColumn("n_words", F.expr(f"size(regexp_extract_all(lower, {_q(WORD)}, 0))").cast("long"))
+    df = df.withColumn("n_words", F.expr(f"size({_words('lower')})").cast("long"))
     none = "CAST(array() AS array<struct<at:int,label:string>>)"
     each = []
     for i, (phrase, label) in enumerate(wanted):
-        pattern = _q("(?<!" + WORD[:-1] + ")" + _NOT.join(phrase.split()) + "(?!" + WORD[:-1] + ")")
-        df = df.withColumn(f"_parts{i}", F.expr(f"CASE WHEN lower RLIKE {pattern} THEN transform(split(lower, {pattern}, -1), p -> size(regexp_extract_all(p, {_q(WORD)}, 0))) END"))
+        pattern = _q(rf"(?<=\A|{_BETWEEN})" + (_BETWEEN + "+").join(phrase.split()) + rf"(?={_BETWEEN}|\z)")
+        there = " AND ".join(f"contains(lower, {_q(w)})" for w in phrase.split())
+        df = df.withColumn(f"_parts{i}", F.expr(f"CASE WHEN {there} THEN transform(split(lower, {pattern}, -1), p -> size({_words('p')})) END"))
         n = len(phrase.split())
         each.append(
             f"""CASE WHEN size(_parts{i}) > 1 THEN aggregate(sequence(0, size(_parts{i}) - 2), named_struct('at', 0, 'out', {none}),
