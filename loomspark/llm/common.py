@@ -64,3 +64,17 @@ def map_rows(
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def filter_texts(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]], text: str = "text", block_rows: int = 512) -> DataFrame:
+    """The rows of ``df``, unchanged, for whose texts the function that ``make`` builds is true."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accept = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, block_rows):
+                part = batch.slice(start, block_rows)
+                yield part.filter(pa.array(accept(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

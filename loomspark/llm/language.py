@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import documents, held_out, map_rows
+from loomspark.llm.common import documents, filter_texts, held_out, map_rows
 
 BINS = 1 << 14
 #: Bound on the texts of a language that are learned from (as expected; the choice is by hash).
@@ -136,6 +136,22 @@ def identify(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc
     return map_rows(picked, make, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
+def filter_rows(df: DataFrame, model: Model, text: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows whose text has a language, with a score of ``least`` or more."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        own = shared.value
+
+        def accept(texts):
+            found = [own.predict(t) for t in texts]
+            return [name != "und" and score >= least for name, score in found]
+
+        return accept
+
+    return filter_texts(df, make, text)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return identify(docs, fit(docs))

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import documents, held_out, labels, map_rows
+from loomspark.llm.common import documents, filter_texts, held_out, labels, map_rows
 
 PER_CLASS = 4000
 THRESHOLD = 0.7
@@ -139,6 +139,17 @@ def score(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id
     return map_rows(picked, make, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def filter_rows(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose text scores ``threshold`` or more."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        own = shared.value
+        return lambda texts: (own.scores(np.array([vector(t) for t in texts])) >= threshold).tolist()
+
+    return filter_texts(df, make, text)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score(docs, fit(docs, labels(spark, sf_dir)))

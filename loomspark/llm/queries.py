@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, digest, language, licenses, packing, quality, secrets, simhash, webp
+import corpus_pipeline
+from loomspark.llm import bpe, digest, language, licenses, packing, quality, secrets, simhash, training_order, webp
 
 
 def queries():
@@ -16,6 +17,8 @@ def queries():
         "op7_digest": digest.op7_digest,
         "op8_webp": webp.op8_webp,
         "op9_licenses": licenses.op9_licenses,
+        "op10_training_order": training_order.op10_training_order,
+        "pipeline": corpus_pipeline.run,
     }
 
 
