@@ -25,29 +25,55 @@ SHINGLE = 3
 MAX_BITS = 3
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: For groups of similar texts: words of the shingles that find and that decide, how many of the
+#: deciding 256 bits may differ (at a similarity of 0.8 about 39 do, give or take 6), and of the first 64.
+FIND_WORDS, WIDE_WORDS, WIDE_BITS, FIRST_BITS = 2, 5, 48, 22
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 14
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """Zero if there is no word."""
-    words = _WORD.findall((text or "").encode().translate(_LOWER))
-    if not words:
-        return 0
+def words_of(text: str | None) -> list[bytes]:
+    return _WORD.findall((text or "").encode().translate(_LOWER))
+
+
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of every run of ``width`` words joined by spaces, or of all words if there are fewer."""
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = np.array([digest(joined, SEED)], "<u8")
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-width])).tolist()
-        stops = (ends[width - 1 :] - 1).tolist()
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], "<u8")
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        part = hashes[at : at + BLOCK]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist())
+        return np.array([digest(joined, SEED)], "<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-width])).tolist()
+    stops = (ends[width - 1 :] - 1).tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], "<u8")
+
+
+def _mixed(hashes: np.ndarray, i: int) -> np.ndarray:
+    """The i-th of several independent numbers of each hash; the hash itself for 0."""
+    if not i:
+        return hashes
+    z = hashes ^ np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def majority(hashes: np.ndarray, n: int = 1) -> list[int]:
+    """``n`` fingerprints of 64 bits: a bit is 1 if it is in over half of the hashes."""
+    out = []
+    for k in range(n):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), BLOCK):
+            part = np.ascontiguousarray(_mixed(hashes[at : at + BLOCK], k))
+            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist()))
+    return out
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """Zero if there is no word."""
+    words = words_of(text)
+    return majority(shingle_hashes(words, width))[0] if words else 0
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -116,10 +142,84 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     return prints.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+def sketches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, a0, a1 (128 bits over ``FIND_WORDS``-word shingles) and b0 ... b3 (256 bits over ``WIDE_WORDS``-word ones)."""
+
+    def make():
+        def work(columns):
+            out = [[] for _ in range(6)]
+            for value in columns[1]:
+                words = words_of(value)
+                found = majority(shingle_hashes(words, FIND_WORDS), 2) + majority(shingle_hashes(words, WIDE_WORDS), 4) if words else [0] * 6
+                for column, v in zip(out, found, strict=True):
+                    column.append(v - (1 << 64) if v >> 63 else v)
+            return {"doc_id": columns[0]} | dict(zip(("a0", "a1", "b0", "b1", "b2", "b3"), out, strict=True))
+
+        return work
+
+    return map_rows(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), make, "doc_id long, a0 long, a1 long, b0 long, b1 long, b2 long, b3 long")
+
+
+def _segments(n: int) -> list[tuple[int, int]]:
+    """(first bit, width) of the segments of 128 bits: wider ones for more fingerprints, so that a key has few by chance."""
+    count = 6 if n < 1 << 20 else 5 if n < 1 << 24 else 4
+    width = 128 // count
+    return [(i * width, width) for i in range(count)]
+
+
+def _segment(first: int, width: int) -> str:
+    """SQL for bits first ... first + width - 1 of a0 and a1."""
+    mask = (1 << width) - 1
+    if first + width <= 64:
+        return f"(shiftrightunsigned(a0, {first}) & {mask}L)"
+    if first >= 64:
+        return f"(shiftrightunsigned(a1, {first - 64}) & {mask}L)"
+    return f"((shiftrightunsigned(a0, {first}) | shiftleft(a1, {64 - first})) & {mask}L)"
+
+
+def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = WIDE_BITS) -> DataFrame:
+    """doc_id, component_id over texts whose 5-word shingles are alike by 0.8 or more, as fingerprints tell.
+
+    At 0.8 a tenth of a fingerprint's bits differ and more, so three of 64 wouldn't do. Candidates come from 128
+    bits over pairs of words, which an edit changes least, by the same multi-index way: balls of radius one
+    within each segment; ``max_bits`` of 256 bits over 5-word shingles decide.
+
+    Equal fingerprints are one row. Then each key's members are linked to its least member, a row for each
+    member and key, so that a large group is one component before any pairs are made; and the balls' matches
+    are joined only across components. Thus a group of thousands gives no pairs, and no link between groups is lost.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    every = sketches(df, doc_id, text).checkpoint()
+    parts = ["a0", "a1", "b0", "b1", "b2", "b3"]
+    rows = every.groupBy(*parts).agg(F.min("doc_id").alias("id")).checkpoint()
+    segments = _segments(rows.count())
+    keys = F.array(*(F.struct(F.lit(i).alias("segment"), F.expr(_segment(*s)).alias("key")) for i, s in enumerate(segments)))
+    distance = " + ".join(f"bit_count(x.b{i} ^ y.b{i})" for i in range(4))
+    print_ = F.struct("id", "b0", "b1", "b2", "b3")
+    table = rows.select(print_.alias("x"), F.explode(keys).alias("s")).select("x", "s.segment", "s.key")
+    leaders = table.groupBy("segment", "key").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1").select("segment", "key", "y")
+    stars = table.join(leaders, ["segment", "key"]).where("x.id != y.id").where(F.expr(distance) <= max_bits)
+    stars = stars.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().checkpoint()
+    root = components(stars)
+    placed = rows.join(root, rows.id == root.node, "left").select("id", *parts, F.coalesce("root", "id").alias("root")).checkpoint()
+    ball = F.expr(f"concat(array(0L), transform(sequence(0, {segments[0][1] - 1}), i -> shiftleft(1L, i)))")
+    table = placed.select("id", "b0", "root", F.explode(keys).alias("s")).select("id", "b0", "root", "s.segment", "s.key")
+    probes = table.select(F.col("id").alias("probe"), F.col("b0").alias("c0"), F.col("root").alias("from"), "segment", "key", F.explode(ball).alias("flip"))
+    probes = probes.select("probe", "c0", "from", "segment", F.expr("key ^ flip").alias("key"))
+    # of the 256 bits, the first 64 spare nearly all chance matches the way to the rest
+    met = probes.join(table, ["segment", "key"]).where((F.col("from") < F.col("root")) & (F.bit_count(F.expr("c0 ^ b0")) <= FIRST_BITS))
+    met = met.select("probe", "id").distinct()
+    x = placed.select(F.col("id").alias("probe"), print_.alias("x"))
+    y = placed.select("id", print_.alias("y"))
+    links_ = met.join(x, "probe").join(y, "id").where(F.expr(distance) <= max_bits).select(F.col("probe").alias("a"), F.col("id").alias("b"))
+    root = components(stars.unionAll(links_))
+    final = rows.join(root, rows.id == root.node, "left").select(*parts, F.coalesce("root", "id").alias("component_id"))
+    return every.join(final, parts).select("doc_id", "component_id")
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its group; of repeated rows with that id one stays."""
-    groups = near_duplicates(df, doc_id, text, width)
-    kept = groups.groupBy("component_id").agg(F.count("*").alias("_rows")).select(F.col("component_id").alias("_keep"))
+    kept = similar_groups(df, doc_id, text).select(F.col("component_id").alias("_keep")).distinct()
     return df.join(kept, F.col(doc_id) == F.col("_keep"), "left_semi").dropDuplicates([doc_id])
 
 
