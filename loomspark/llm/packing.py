@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -97,9 +98,15 @@ class IdReader:
         self.other = re.compile("[^\t-\r\x20-\x7e\xa1-ɏ]")
 
     def __call__(self, text: str) -> np.ndarray:
+        return np.frombuffer(array("I", self._ids(text)), np.uint32)
+
+    def count(self, text: str) -> int:
+        return len(self._ids(text))
+
+    def _ids(self, text: str) -> list[int]:
         if self.other.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.array(self.fast.encode_ordinary(text), "<u4")
+            return self.whole.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
 
 def _byte_letters() -> dict[int, str]:

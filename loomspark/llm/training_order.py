@@ -121,7 +121,9 @@ def materialise(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "te
     kind = f"<u{width}"
 
     def count(batches):
-        n = sum(1 for _ in _stream(batches, length, path))
+        read = IdReader(path)
+        ids = sum(read.count(x or "") + 1 for batch in batches for at in range(0, batch.num_rows, 256) for x in batch.column(1).slice(at, 256).to_pylist())
+        n = -(-ids // length)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
     # a row for each partition of the input
