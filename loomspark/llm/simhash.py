@@ -26,8 +26,8 @@ MAX_BITS = 3
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: For groups of similar texts: words of the shingles that find and that decide, how many of the
-#: deciding 256 bits may differ (at a similarity of 0.8 about 39 do, give or take 6), and of the first 64.
-FIND_WORDS, WIDE_WORDS, WIDE_BITS, FIRST_BITS = 2, 5, 48, 22
+#: deciding 256 bits may differ (at a similarity of 0.8 about 39 do, give or take 6).
+FIND_WORDS, WIDE_WORDS, WIDE_BITS = 2, 5, 48
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 14
 
@@ -203,15 +203,12 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ma
     root = components(stars)
     placed = rows.join(root, rows.id == root.node, "left").select("id", *parts, F.coalesce("root", "id").alias("root")).checkpoint()
     ball = F.expr(f"concat(array(0L), transform(sequence(0, {segments[0][1] - 1}), i -> shiftleft(1L, i)))")
-    table = placed.select("id", "b0", "root", F.explode(keys).alias("s")).select("id", "b0", "root", "s.segment", "s.key")
-    probes = table.select(F.col("id").alias("probe"), F.col("b0").alias("c0"), F.col("root").alias("from"), "segment", "key", F.explode(ball).alias("flip"))
-    probes = probes.select("probe", "c0", "from", "segment", F.expr("key ^ flip").alias("key"))
-    # of the 256 bits, the first 64 spare nearly all chance matches the way to the rest
-    met = probes.join(table, ["segment", "key"]).where((F.col("from") < F.col("root")) & (F.bit_count(F.expr("c0 ^ b0")) <= FIRST_BITS))
-    met = met.select("probe", "id").distinct()
-    x = placed.select(F.col("id").alias("probe"), print_.alias("x"))
-    y = placed.select("id", print_.alias("y"))
-    links_ = met.join(x, "probe").join(y, "id").where(F.expr(distance) <= max_bits).select(F.col("probe").alias("a"), F.col("id").alias("b"))
+    # all deciding bits travel with the probes: what is met is decided within the join, and only links come out
+    table = placed.select(print_.alias("y"), F.col("root").alias("to"), F.explode(keys).alias("s")).select("y", "to", "s.segment", "s.key")
+    probes = placed.select(print_.alias("x"), F.col("root").alias("from"), F.explode(keys).alias("s")).select("x", "from", "s.segment", "s.key", F.explode(ball).alias("flip"))
+    probes = probes.select("x", "from", "segment", F.expr("key ^ flip").alias("key"))
+    met = probes.join(table, ["segment", "key"]).where((F.col("from") < F.col("to")) & F.expr(f"{distance} <= {max_bits}"))
+    links_ = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     root = components(stars.unionAll(links_))
     final = rows.join(root, rows.id == root.node, "left").select(*parts, F.coalesce("root", "id").alias("component_id"))
     return every.join(final, parts).select("doc_id", "component_id")
