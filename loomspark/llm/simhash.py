@@ -202,13 +202,19 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ma
     stars = stars.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().checkpoint()
     root = components(stars)
     placed = rows.join(root, rows.id == root.node, "left").select("id", *parts, F.coalesce("root", "id").alias("root")).checkpoint()
-    ball = F.expr(f"concat(array(0L), transform(sequence(0, {segments[0][1] - 1}), i -> shiftleft(1L, i)))")
-    # all deciding bits travel with the probes: what is met is decided within the join, and only links come out
-    table = placed.select(print_.alias("y"), F.col("root").alias("to"), F.explode(keys).alias("s")).select("y", "to", "s.segment", "s.key")
-    probes = placed.select(print_.alias("x"), F.col("root").alias("from"), F.explode(keys).alias("s")).select("x", "from", "s.segment", "s.key", F.explode(ball).alias("flip"))
-    probes = probes.select("x", "from", "segment", F.expr("key ^ flip").alias("key"))
-    met = probes.join(table, ["segment", "key"]).where((F.col("from") < F.col("to")) & F.expr(f"{distance} <= {max_bits}"))
-    links_ = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    # Two keys that differ in one bit have different parities, so only even keys go round their ball, and each pair
+    # is met once; equal keys meet without a flip. All deciding bits travel along: what is met is decided within the
+    # join, and only links between components come out.
+    width = segments[0][1]
+    keyed = F.array(*(F.expr(f"{_segment(*s)} + {i << 40}L") for i, s in enumerate(segments)))
+    bits = ["b0", "b1", "b2", "b3"]
+    table = placed.select(F.col("root").alias("to"), *(F.col(c).alias(f"y{c[1]}") for c in bits), F.explode(keyed).alias("key"))
+    probes = placed.select(F.col("root").alias("from"), *(F.col(c).alias(f"x{c[1]}") for c in bits), F.explode(keyed).alias("own"))
+    flips = F.expr(f"CASE WHEN bit_count(own & {(1 << width) - 1}L) % 2 = 0 THEN concat(array(0L), transform(sequence(0, {width - 1}), i -> shiftleft(1L, i))) ELSE array(0L) END")
+    probes = probes.select("*", F.explode(flips).alias("flip")).select("from", "x0", "x1", "x2", "x3", F.expr("own ^ flip").alias("key"))
+    apart = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(4))
+    met = probes.join(table, "key").where((F.col("from") != F.col("to")) & F.expr(f"{apart} <= {max_bits}"))
+    links_ = met.select(F.col("from").alias("a"), F.col("to").alias("b")).distinct()
     root = components(stars.unionAll(links_))
     final = rows.join(root, rows.id == root.node, "left").select(*parts, F.coalesce("root", "id").alias("component_id"))
     return every.join(final, parts).select("doc_id", "component_id")
