@@ -80,16 +80,18 @@ class Feistel:
         return self._walk(slot, True)
 
 
-def _stream(batches: Iterable[pa.RecordBatch], length: int, path: str | None) -> Iterator[tuple[int, int, np.ndarray]]:
+def _stream(batches: Iterable[pa.RecordBatch], length: int, path: str | None, width: int) -> Iterator[tuple[int, int, bytes]]:
     """(first document, its ids before the sequence, ids) of each sequence of a task."""
     read = IdReader(path)
-    buffer = np.full(length, SEPARATOR, "<u4")
+    if read.largest >> (8 * width):
+        raise ValueError(f"ids don't fit {width} bytes")
+    buffer = np.full(length, SEPARATOR, f"<u{width}")
     filled, first, begun = 0, None, 0
     for batch in batches:
         ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
         for at in range(0, len(ids_of), 256):
             for doc, value in zip(ids_of[at : at + 256], texts.slice(at, 256).to_pylist(), strict=True):
-                ids = np.append(read(value or ""), np.uint32(SEPARATOR))
+                ids = read.separated(value or "")
                 start = 0
                 while start < len(ids):
                     if not filled:
@@ -98,11 +100,11 @@ def _stream(batches: Iterable[pa.RecordBatch], length: int, path: str | None) ->
                     buffer[filled : filled + n] = ids[start : start + n]
                     filled, start = filled + n, start + n
                     if filled == length:
-                        yield first, begun, buffer.copy()
+                        yield first, begun, buffer.tobytes()
                         filled = 0
     if filled:
         buffer[filled:] = SEPARATOR
-        yield first, begun, buffer.copy()
+        yield first, begun, buffer.tobytes()
 
 
 def _filesystem(uri: str):
@@ -118,7 +120,6 @@ def materialise(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "te
     ``df`` must give its partitions alike each time, as a table's scan does; ``width`` is the bytes of an id.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    kind = f"<u{width}"
 
     def count(batches):
         read = IdReader(path)
@@ -147,12 +148,10 @@ def materialise(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "te
             at = np.array(at)
             return pa.RecordBatch.from_arrays([pa.array(at // shard, pa.int32()), pa.array(at, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(data, pa.binary())], names=["shard", "slot", "first_doc_id", "first_start", "ids"])
 
-        for doc, start, ids in _stream(batches, length, path):
+        for doc, start, ids in _stream(batches, length, path, width):
             if made == n:
                 raise RuntimeError("the input gave other partitions the second time")
-            if width < 4 and ids.max() >> (8 * width):
-                raise ValueError(f"an id doesn't fit {width} bytes")
-            waiting.append((doc, start, int(slots[made]), ids.astype(kind).tobytes()))
+            waiting.append((doc, start, int(slots[made]), ids))
             made += 1
             if len(waiting) == 512:
                 yield out_batch()
