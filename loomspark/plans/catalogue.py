@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from loomspark.plans import scalars  # noqa: F401
+from loomspark.plans import fields, scalars  # noqa: F401

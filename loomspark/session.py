@@ -26,3 +26,12 @@ def local_session(cores: str = "8", memory: str = "8g", **conf: str) -> SparkSes
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Keeps the folder that ``spark.checkpoint.dir`` names; sets one of its own only where none is named."""
+    import tempfile
+
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomspark-"))
