@@ -11,7 +11,6 @@ from loomspark.sources import fixtures, grids
 
 # The classifier's rule again as plain SQL over sixteen straight yarns: each point against each yarn and node.
 _YARNS = "(SELECT CAST(k AS INT) AS yarn_id, 0.15 + (k // 4) * (0.7 / 3) AS yy, 0.15 + (k % 4) * (0.7 / 3) AS yz FROM range(16) t(k))"
-_NEAR = "list_min(list_transform(range(16), i -> {'d': pow(x - i / 15.0, 2) + pow(y - yy, 2) + pow(z - yz, 2), 'i': i}))"
 _HIT = "abs(yy - y) < 0.035 AND abs(z - yz) < 0.035"
 
 
@@ -32,13 +31,17 @@ def j1_voxel_classify(spark, sf_dir):
     return classify.voxelize(fixtures.yarn_grid(spark), 32, 32, 32).groupBy("yarn_id").agg(F.count("*").alias("voxels"))
 
 
-_LATTICE = "(SELECT l_orderkey, l_linenumber, l_orderkey * 8 + l_linenumber AS pid, (l_quantity - 1) / 49 AS x, (l_discount + 0.0) / 0.1 AS y, (l_tax + 0.0) / 0.08 AS z FROM lineitem)"
+_LATTICE = "(SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 10000 + CAST(round(l_discount * 100) AS BIGINT) * 100 + CAST(round(l_tax * 100) AS BIGINT) AS pid, (l_quantity - 1) / 49 AS x, (l_discount + 0.0) / 0.1 AS y, (l_tax + 0.0) / 0.08 AS z FROM lineitem)"
 
 
 @register("j1_lineitem_points", f"SELECT yarn_id, l_linenumber, count(*) AS points FROM {_LATTICE} JOIN {_owner(_LATTICE, 'pid')} USING (pid) GROUP BY 1, 2")
 def j1_lineitem_points(spark, sf_dir):
-    points = table(spark, sf_dir, "lineitem").selectExpr("l_linenumber", "l_orderkey * 8 + l_linenumber AS pid", "(l_quantity - 1) / 49 AS x", "(l_discount + 0.0D) / 0.1D AS y", "(l_tax + 0.0D) / 0.08D AS z")
-    return classify.classify(points, fixtures.yarn_grid(spark), "pid").groupBy("yarn_id", "l_linenumber").agg(F.count("*").alias("points"))
+    """Points on a lattice repeat, so each place is classified once and its rows are joined to it."""
+    points = table(spark, sf_dir, "lineitem").selectExpr("l_linenumber", "CAST(l_quantity AS BIGINT) * 10000 + CAST(round(l_discount * 100) AS BIGINT) * 100 + CAST(round(l_tax * 100) AS BIGINT) AS pid", "(l_quantity - 1) / 49 AS x", "(l_discount + 0.0D) / 0.1D AS y", "(l_tax + 0.0D) / 0.08D AS z")
+    counted = points.groupBy("pid", "l_linenumber").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in "xyz"))
+    places = counted.groupBy("pid").agg(*(F.min(c).alias(c) for c in "xyz"))
+    owned = classify.classify(places, fixtures.yarn_grid(spark), "pid").select("pid", "yarn_id")
+    return counted.join(owned, "pid").groupBy("yarn_id", "l_linenumber").agg(F.sum("n").alias("points"))
 
 
 @register("a10_element_sets", f"SELECT CASE WHEN yarn_id < 0 THEN 'Matrix' ELSE 'Yarn' || yarn_id END AS set_name, vid + 1 AS elem_id FROM {_owner(_grid(16), 'vid')}")
