@@ -31,6 +31,12 @@ def j1_voxel_classify(spark, sf_dir):
     return classify.voxelize(fixtures.yarn_grid(spark), 32, 32, 32).groupBy("yarn_id").agg(F.count("*").alias("voxels"))
 
 
+@register("j1_voxel_classify_64", f"SELECT yarn_id, count(*) AS voxels FROM {_owner(_grid(64), 'vid')} GROUP BY yarn_id")
+def j1_voxel_classify_64(spark, sf_dir):
+    """The grid of the published batch's cases: 64 cells along each axis."""
+    return classify.voxelize(fixtures.yarn_grid(spark), 64, 64, 64).groupBy("yarn_id").agg(F.count("*").alias("voxels"))
+
+
 _LATTICE = "(SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 10000 + CAST(round(l_discount * 100) AS BIGINT) * 100 + CAST(round(l_tax * 100) AS BIGINT) AS pid, (l_quantity - 1) / 49 AS x, (l_discount + 0.0) / 0.1 AS y, (l_tax + 0.0) / 0.08 AS z FROM lineitem)"
 
 
