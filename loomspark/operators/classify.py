@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions import polygons
+from loomspark.operators.plan import settle
 
 #: Buckets along each axis of the images' extent.
 BUCKETS = 16
@@ -51,23 +52,28 @@ def classify(points: DataFrame, yarns: DataFrame, key: str = "vid", extent=((0.0
     Without ``pruning`` the box test is left out, and points beyond a yarn's ends may belong to it.
     """
     found = images(yarns)
+    few = _few(found)
     if pruning:
         at, boxes = _bucketed(points, found, *extent)
-        met = at.select(key, "x", "y", "z", "bucket").join(boxes, "bucket").where("x BETWEEN lox AND hix AND y BETWEEN loy AND hiy AND z BETWEEN loz AND hiz")
+        met = at.select(key, "x", "y", "z", "bucket").join(F.broadcast(boxes) if few else boxes, "bucket").where("x BETWEEN lox AND hix AND y BETWEEN loy AND hiy AND z BETWEEN loz AND hiz")
     else:
-        met = points.select(key, "x", "y", "z").crossJoin(F.broadcast(found)) if _few(yarns) else points.select(key, "x", "y", "z").join(found)
+        # the rule itself compares every point with every yarn here
+        met = points.select(key, "x", "y", "z").join(F.broadcast(found) if few else found)
     near = "array_min(transform(nodes, (n, i) -> named_struct('d', pow(x - n.x, 2) + pow(y - n.y, 2) + pow(z - n.z, 2), 'i', i)))"
-    met = met.withColumn("near", F.expr(near)).withColumn("n", F.expr("nodes[near.i]"))
+    met = settle(met.select(key, "x", "y", "z", "yarn_id", "image", "nodes", "section"), near=F.expr(near))
+    met = settle(met, n=F.expr("nodes[near.i]"))
     local = lambda c: f"((x - n.x) * n.{c}x + (y - n.y) * n.{c}y + (z - n.z) * n.{c}z)"
-    met = met.select(key, "yarn_id", "image", "section", F.expr(local("s")).alias("u"), F.expr(local("u")).alias("v"), F.expr(f"sqrt(near.d) + abs({local('t')}) * 0.1D").alias("distance"))
+    met = settle(met, u=F.expr(local("s")), v=F.expr(local("u")), distance=F.expr(f"sqrt(near.d) + abs({local('t')}) * 0.1D")).select(key, "yarn_id", "image", "section", "u", "v", "distance")
     inside = met.where(F.expr(polygons.inside_half_open("section", "u", "v")))
     best = inside.groupBy(key).agg(F.min(F.struct("distance", "yarn_id", "image")).alias("best"))
     return points.join(best, key, "left").withColumn("yarn_id", F.coalesce("best.yarn_id", F.lit(-1))).withColumn("distance", F.col("best.distance")).drop("best")
 
 
-def _few(yarns: DataFrame, most: int = 4096) -> bool:
-    """A look at the number of yarns before they are sent to every task."""
-    return yarns.limit(most + 1).count() <= most
+def _few(found: DataFrame, most_nodes: int = 100_000) -> bool:
+    """Whether the images are small enough to be sent to every task: a count of their nodes, about 120 bytes each.
+
+    Beyond, both sides are shuffled by bucket."""
+    return (found.agg(F.sum(F.size("nodes") + F.size("section"))).first()[0] or 0) <= most_nodes
 
 
 def voxelize(yarns: DataFrame, nx: int, ny: int, nz: int, lo=(0.0, 0.0, 0.0), hi=(1.0, 1.0, 1.0), pruning: bool = True) -> DataFrame:

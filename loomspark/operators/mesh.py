@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import vec
+from loomspark.operators.plan import settle
 from loomspark.session import ensure_checkpoint_dir
 
 
@@ -72,8 +73,9 @@ def _turned(nodes: str = "nodes") -> Column:
 
 def cancel_opposing(elements: DataFrame) -> DataFrame:
     """Faces on the same nodes with opposite winding go in pairs."""
-    rows = elements.withColumn("turned", _turned()).withColumn("other", F.expr("concat(slice(turned, 1, 1), reverse(slice(turned, 2, size(turned) - 1)))"))
-    rows = rows.withColumn("key", F.when(F.col("turned") < F.col("other"), F.col("turned")).otherwise(F.col("other"))).withColumn("way", F.col("turned") < F.col("other"))
+    rows = settle(elements, turned=_turned())
+    rows = settle(rows, other=F.expr("concat(slice(turned, 1, 1), reverse(slice(turned, 2, size(turned) - 1)))"))
+    rows = settle(rows, key=F.when(F.col("turned") < F.col("other"), F.col("turned")).otherwise(F.col("other")), way=F.col("turned") < F.col("other")).drop("turned", "other")
     counts = rows.groupBy("key").agg(F.sum(F.col("way").cast("int")).alias("forth"), F.sum((~F.col("way")).cast("int")).alias("back"))
     rank = F.row_number().over(Window.partitionBy("key", "way").orderBy("elem_id"))
     return rows.withColumn("rank", rank).join(counts, "key").where("rank > least(forth, back)").select("elem_id", "nodes")
