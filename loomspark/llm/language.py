@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.common import documents, filter_texts, held_out, map_rows
 
-BINS = 1 << 14
+BINS = 1 << 16
 #: Bound on the texts of a language that are learned from (as expected; the choice is by hash).
 PER_LANGUAGE = 1500
 AMBIGUOUS = 0.5
@@ -42,7 +42,7 @@ def trigrams(text: str) -> np.ndarray:
     for at in range(0, len(data) - 2, BLOCK):
         x = data[at : at + BLOCK + 2].astype(np.uint32)
         keys = (x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA6B)) ^ (x[2:] * np.uint32(0xC2B2AE35))
-        counts += np.bincount(keys >> np.uint32(18), minlength=BINS)
+        counts += np.bincount(keys >> np.uint32(16), minlength=BINS)
     return counts
 
 
@@ -106,10 +106,12 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "do
 
     summed = map_rows(sample, make, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r["lang"] for r in summed})
-    table = np.full((len(languages), BINS), SMOOTH)
+    table = np.zeros((len(languages), BINS))
     at = {name: i for i, name in enumerate(languages)}
     for r in summed:
         table[at[r["lang"]], r["bin"]] += r["n"]
+    # in proportion to a language's trigrams, so that one which nobody has speaks for nobody
+    table += SMOOTH * table.sum(1, keepdims=True) / max(1.0, table.sum(1).mean())
     shares = table / table.sum(1, keepdims=True)
     codes = codewords(len(languages))
     weights = np.zeros((BINS, codes.shape[1]))
