@@ -70,7 +70,9 @@ class Model:
         seen = np.flatnonzero(counts)
         totals = counts[seen] @ self.weights[seen]
         n = int(counts[seen].sum())
-        margins = np.clip(GAIN * totals / n * min(1.0, np.sqrt(n / ENOUGH)), -LIMIT, LIMIT)
+        # hashed trigrams of a script never seen meet known ones by chance: then little of the text is known
+        known = int(counts[seen][self.weights[seen].any(1)].sum()) / n
+        margins = np.clip(GAIN * known * totals / n * min(1.0, np.sqrt(n / ENOUGH)), -LIMIT, LIMIT)
         loss = np.exp(-self.codes * margins).sum(1)
         share = np.exp(loss.min() - loss)
         best = int(loss.argmin())
