@@ -89,3 +89,37 @@ def distinct_materials(rows: DataFrame, key: str, constants: list[str], default:
     named = kinds.withColumn("zero", zero).withColumn("rank", F.row_number().over(Window.partitionBy("zero").orderBy("first")))
     named = named.withColumn("material", F.when(F.col("zero"), default).otherwise(F.concat(F.lit("Mat"), F.col("rank"))))
     return rows.join(named.select(*constants, "material"), constants).select(key, "material")
+
+
+def layered(models: list[tuple[DataFrame, tuple[float, float, float]]]) -> DataFrame:
+    """One model of several layers (yarn_id, node_idx, x, y, z), each moved by its offset; yarns are numbered on."""
+    out, first = None, 0
+    for layer, (nodes, offset) in enumerate(models):
+        moved = nodes.select((F.col("yarn_id") + first).alias("yarn_id"), "node_idx", *((F.col(c) + float(o)).alias(c) for c, o in zip("xyz", offset, strict=True)), F.lit(layer).alias("layer"))
+        out = moved if out is None else out.unionByName(moved)
+        first += (nodes.agg(F.max("yarn_id")).first()[0] or 0) + 1
+    return out
+
+
+def edit_nodes(nodes: DataFrame, insert: DataFrame | None = None, delete: DataFrame | None = None, replace: DataFrame | None = None) -> DataFrame:
+    """Nodes by (yarn_id, node_idx): deleted ones go, replaced ones change, an inserted one stands before the node of
+    its number; then they are numbered anew."""
+    keys = ["yarn_id", "node_idx"]
+    rows = nodes
+    if replace is not None:
+        rows = rows.join(replace.select(*keys), keys, "left_anti").unionByName(replace)
+    if delete is not None:
+        rows = rows.join(delete.select(*keys), keys, "left_anti")
+    rows = rows.withColumn("place", F.col("node_idx").cast("double"))
+    if insert is not None:
+        rows = rows.unionByName(insert.withColumn("place", F.col("node_idx") - 0.5))
+    number = F.row_number().over(Window.partitionBy("yarn_id").orderBy("place")) - 1
+    return rows.withColumn("node_idx", number).drop("place")
+
+
+def next_filled(cells: DataFrame) -> DataFrame:
+    """(row, col, kind) with ``following``: the column of the next cell of the row that isn't empty, round the end."""
+    filled = F.when(F.col("kind").isNotNull(), F.col("col"))
+    w = Window.partitionBy("row").orderBy("col")
+    ahead = F.first(filled, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return cells.withColumn("following", F.coalesce(ahead, F.min(filled).over(Window.partitionBy("row"))))

@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from loomspark.plans import fields, meshes, models, scalars  # noqa: F401
+from loomspark.plans import fields, meshes, models, scalars, spatial  # noqa: F401
