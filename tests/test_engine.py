@@ -102,6 +102,41 @@ def test_units(spark):
         convert(F.lit(1.0), "m", "furlong")
 
 
+def test_models_by_name(spark):
+    from loomspark.sources.registry import Models
+
+    models = Models(spark)
+    with pytest.raises(KeyError):
+        models.get()
+    assert [models.add(spark.range(n), "weave") for n in (1, 2, 3)] == ["weave", "weave-2", "weave-3"]
+    assert models.get().count() == 1 and models.get("weave-3").count() == 3
+    assert models.delete("weave-2") and not models.delete("weave-2")
+    with pytest.raises(KeyError):
+        models.get("weave-2")
+
+
+def test_exact_rule_stops_at_the_ends(spark):
+    from loomspark.operators import exact
+
+    points = spark.createDataFrame([(0, 0.5, 0.5, 0.5), (1, 1.2, 0.5, 0.5), (2, 0.5, 0.5, 0.76), (3, 0.0, 0.5, 0.5), (4, 0.5, 0.6, 0.5)], "vid long, x double, y double, z double")
+    found = {r.vid: r for r in exact.point_information(points, fixtures.square_yarn(spark)).collect()}
+    assert [found[i].yarn_id for i in range(5)] == [0, -1, -1, 0, 0]
+    assert found[4].distance == pytest.approx(-0.14) and found[4].u == pytest.approx(-0.1)
+
+
+def test_clipping_keeps_winding(spark):
+    from loomspark.operators import clip
+
+    rows = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 2.0, 0.0), (1, 3.0, 0.0, 0.0, 4.0, 0.0, 0.0, 3.0, 1.0, 0.0), (2, -3.0, 0.0, 0.0, -2.0, 0.0, 0.0, -3.0, 1.0, 0.0)], "tri_id long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double")
+    kept = clip.clip_triangles(rows, (1, 0, 0), 1.0).collect()
+    signed = lambda r: ((r.x1 - r.x0) * (r.y2 - r.y0) - (r.x2 - r.x0) * (r.y1 - r.y0)) / 2
+    assert {r.tri_id for r in kept} == {0, 1}
+    assert all(signed(r) > 0 for r in kept)
+    assert sum(signed(r) for r in kept if r.tri_id == 0) == pytest.approx(0.5)
+    other = clip.clip_triangles(rows, (-1, 0, 0), -1.0).collect()
+    assert sum(signed(r) for r in other if r.tri_id == 0) == pytest.approx(1.5)
+
+
 def test_entry_imports_without_the_text_operators(tmp_path):
     import shutil
     import subprocess
