@@ -55,7 +55,7 @@ def a10_element_sets(spark, sf_dir):
     return classify.element_sets(classify.voxelize(fixtures.yarn_grid(spark), 16, 16, 16))
 
 
-@register("a2_image_boxes", f"SELECT yarn_id, round(-{0.0 + (2 * 0.035 ** 2) ** 0.5 + 1 / 30 + 1e-6}, 9) AS lox, round(yy - {(2 * 0.035 ** 2) ** 0.5 + 1 / 30 + 1e-6}, 9) AS loy, round(yz + {(2 * 0.035 ** 2) ** 0.5 + 1 / 30 + 1e-6}, 9) AS hiz FROM {_YARNS}")
+@register("a2_image_boxes", f"SELECT yarn_id, round(-{0.0 + (2 * 0.035 ** 2) ** 0.5 + 1 / 30 + 1e-6}, 9)::DOUBLE AS lox, round(yy - {(2 * 0.035 ** 2) ** 0.5 + 1 / 30 + 1e-6}, 9) AS loy, round(yz + {(2 * 0.035 ** 2) ** 0.5 + 1 / 30 + 1e-6}, 9) AS hiz FROM {_YARNS}")
 def a2_image_boxes(spark, sf_dir):
     return classify.images(fixtures.yarn_grid(spark)).selectExpr("yarn_id", "round(lox, 9) AS lox", "round(loy, 9) AS loy", "round(hiz, 9) AS hiz")
 
@@ -72,7 +72,7 @@ def _round9(*names: str) -> list[str]:
     return [f"round({n}, 9) AS {n}" for n in names]
 
 
-@register("s9_cell_centres", "SELECT id AS vid, CAST(id % 8 AS INT) AS ix, CAST(id // 8 % 6 AS INT) AS iy, CAST(id // 48 AS INT) AS iz, round((id % 8 + 0.5) / 8, 9) AS x, round(-1 + (id // 8 % 6 + 0.5) / 3, 9) AS y, round((id // 48 + 0.5) * 0.75, 9) AS z FROM range(192) t(id)")
+@register("s9_cell_centres", "SELECT id AS vid, CAST(id % 8 AS INT) AS ix, CAST(id // 8 % 6 AS INT) AS iy, CAST(id // 48 AS INT) AS iz, round((id % 8 + 0.5) / 8, 9) AS x, round(-1 + (id // 8 % 6 + 0.5) / 3, 9) AS y, round((id // 48 + 0.5::DOUBLE) * 0.75, 9) AS z FROM range(192) t(id)")
 def s9_cell_centres(spark, sf_dir):
     return grids.centres(spark, (8, 6, 4), (0, -1, 0), (1, 1, 3)).selectExpr("vid", "ix", "iy", "iz", *_round9("x", "y", "z"))
 

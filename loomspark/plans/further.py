@@ -94,7 +94,7 @@ def j22b_best_shift(spark, sf_dir):
     return gaps.agg(F.max_by(F.struct("dx", "dy", "gap"), F.struct("gap", -F.col("dx"), -F.col("dy"))).alias("s")).select("s.dx", "s.dy", "s.gap")
 
 
-@register("o8_trailing_integer", "SELECT p_name, row_number() OVER (ORDER BY CAST(regexp_extract(p_name, '(\\d+)$', 1) AS INT), p_name) AS place FROM (SELECT DISTINCT 'Yarn' || (p_partkey % 120) AS p_name FROM part)")
+@register("o8_trailing_integer", "SELECT p_name, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(p_name, '(\\d+)$', 1) AS INT), p_name) AS INT) AS place FROM (SELECT DISTINCT 'Yarn' || (p_partkey % 120) AS p_name FROM part)")
 def o8_trailing_integer(spark, sf_dir):
     """Set names by the number at their end; a model has few."""
     from pyspark.sql import Window

@@ -71,7 +71,7 @@ def a19_tributary_areas(spark, sf_dir):
     return mesh.tributary_areas(nodes(spark, sf_dir), triangles(spark, sf_dir)).selectExpr("node_id", "round(area, 6) AS area")
 
 
-@register("u1_concatenate", f"SELECT count(*) AS elements, sum(n0) AS first_nodes, max(elem_id) AS last FROM (SELECT elem_id, n0 FROM {TRIANGLES} UNION ALL SELECT elem_id + (SELECT max(elem_id) + 1 FROM {TRIANGLES}), n0 + (SELECT max(node_id) + 1 FROM {NODES}) FROM {TRIANGLES})")
+@register("u1_concatenate", f"SELECT count(*) AS elements, sum(n0)::BIGINT AS first_nodes, max(elem_id) AS last FROM (SELECT elem_id, n0 FROM {TRIANGLES} UNION ALL SELECT elem_id + (SELECT max(elem_id) + 1 FROM {TRIANGLES}), n0 + (SELECT max(node_id) + 1 FROM {NODES}) FROM {TRIANGLES})")
 def u1_concatenate(spark, sf_dir):
     part = (nodes(spark, sf_dir), triangles(spark, sf_dir))
     return mesh.concatenate([part, part])[1].agg(F.count("*").alias("elements"), F.sum(F.col("nodes")[0]).alias("first_nodes"), F.max("elem_id").alias("last"))

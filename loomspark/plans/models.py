@@ -60,7 +60,7 @@ sql("a8_volume_fraction", "SELECT n_regionkey, round(sum((s_suppkey % 10) / 10.0
 sql("a12_homogenised_constants", "SELECT l_suppkey, round(1 / nullif(max(CASE WHEN l_linenumber = 1 THEN s END), 0), 9) AS e1, round(-max(CASE WHEN l_linenumber = 2 THEN s END) / nullif(max(CASE WHEN l_linenumber = 1 THEN s END), 0), 9) AS nu12, round(1 / nullif(max(CASE WHEN l_linenumber = 4 THEN s END), 0), 9) AS g12 FROM (SELECT l_suppkey, l_linenumber, avg(l_quantity) AS s FROM {lineitem} GROUP BY 1, 2) GROUP BY l_suppkey")
 sql("a18_yarn_widths", "SELECT p_brand, round(avg(p_size), 6) AS mean_width, max(p_size) AS widest FROM {part} GROUP BY p_brand")
 sql("a23_benchmark_summary", "SELECT event_type, count(*) AS runs, min(value) AS fastest, round(avg(value), 6) AS mean, max(value) AS slowest FROM {events} GROUP BY event_type")
-sql("o2_sorted_by_height", "SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS place FROM {supplier}")
+sql("o2_sorted_by_height", "SELECT s_nationkey, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS INT) AS place FROM {supplier}")
 sql("o5_arg_min", "SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS r FROM {lineitem}) WHERE r = 1")
 sql("o7_closest_reed", "SELECT p_partkey, reed FROM (SELECT p_partkey, reed, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(p_size - reed), reed) AS r FROM {part} CROSS JOIN (VALUES (5), (12), (20), (31), (44)) v(reed)) WHERE r = 1")
 sql("u15_contact_pairs", "SELECT DISTINCT least(l_partkey % 20, l_suppkey % 20) AS a, greatest(l_partkey % 20, l_suppkey % 20) AS b FROM {lineitem} WHERE l_partkey % 20 != l_suppkey % 20")
