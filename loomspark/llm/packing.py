@@ -20,6 +20,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -118,6 +119,12 @@ class IdReader:
         return self.fast.encode_ordinary(text)
 
 
+@lru_cache(maxsize=4)
+def id_reader(path: str | None = None) -> IdReader:
+    """One for each worker process: its tasks share it."""
+    return IdReader(path)
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter by which a byte-level vocabulary writes each byte: itself if it is printable, else one from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -209,7 +216,7 @@ def pack_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", li
         raise ValueError("every token of a document bears loss, so its limit can't be under that of tokens")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = IdReader(path)
+        read = id_reader(path)
         base, number, top = TaskContext.get().partitionId() << 33, 0, limits.tokens
         rows: list[tuple] = []
         waiting = _Block(limits)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import documents, shared_dir
-from loomspark.llm.packing import SEPARATOR, IdReader
+from loomspark.llm.packing import SEPARATOR, id_reader
 
 LENGTH = 1024
 #: Sequences to a file.
@@ -82,7 +82,7 @@ class Feistel:
 
 def _stream(batches: Iterable[pa.RecordBatch], length: int, path: str | None, width: int) -> Iterator[tuple[int, int, bytes]]:
     """(first document, its ids before the sequence, ids) of each sequence of a task."""
-    read = IdReader(path)
+    read = id_reader(path)
     if read.largest >> (8 * width):
         raise ValueError(f"ids don't fit {width} bytes")
     buffer = np.full(length, SEPARATOR, f"<u{width}")
@@ -122,7 +122,7 @@ def materialise(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "te
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def count(batches):
-        read = IdReader(path)
+        read = id_reader(path)
         ids = sum(read.count(x or "") + 1 for batch in batches for at in range(0, batch.num_rows, 256) for x in batch.column(1).slice(at, 256).to_pylist())
         n = -(-ids // length)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
