@@ -5,6 +5,9 @@ distinct fingerprints are linked: each is filed under its two 32-bit halves, and
 fingerprints with at most three differing bits one half differs in at most one bit. So for each
 half the ball of radius one (33 keys) is looked up, and every match is verified on all 64 bits.
 
+Members of each half are linked to its least member first, so that a large group is one component before any pair
+is met; balls are then looked up across components only.
+
 Components come from alternating star contractions over the links; each round is written
 to the checkpoint folder. Nothing is gathered on the driver but a count of changes.
 """
@@ -15,7 +18,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import documents, ensure_checkpoint_dir, map_rows
@@ -28,6 +31,8 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: For groups of similar texts: words of the shingles that find and that decide, how many of the
 #: deciding 256 bits may differ (at a similarity of 0.8 about 39 do, give or take 6).
 FIND_WORDS, WIDE_WORDS, WIDE_BITS = 2, 5, 48
+#: Rows under one key from which its main component is kept from meeting itself.
+HOT_KEY = 256
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 14
 
@@ -91,15 +96,54 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct longs in ``fp`` with at most ``max_bits`` <= 3 differing bits."""
+    return _ball_links(distinct.select("fp", F.col("fp").alias("root")), max_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _ball_links(placed: DataFrame, max_bits: int) -> DataFrame:
+    """Pairs of fingerprints (fp, root) with different roots and at most ``max_bits`` differing bits, as they are found."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two halves and balls of radius one find up to three differing bits")
-    ball = F.expr("transform(sequence(-1, 31), i -> if(i < 0, 0L, shiftleft(1L, i)))")
-    high, low = F.expr("shiftrightunsigned(fp, 32)"), F.expr("fp & 4294967295L")
-    table = distinct.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("half"), high.alias("key")), F.struct(F.lit(1).alias("half"), low.alias("key")))).alias("s")).select("fp", "s.half", "s.key")
-    probes = table.select(F.col("fp").alias("probe"), "half", "key", F.explode(ball).alias("flip")).select("probe", "half", F.expr("key ^ flip").alias("key"))
-    met = probes.join(table, ["half", "key"]).where(F.col("probe") < F.col("fp"))
-    near = met.where(F.bit_count(F.expr("probe ^ fp")) <= max_bits)
-    return near.select(F.col("probe").alias("a"), F.col("fp").alias("b")).distinct()
+    # The half's number goes into bit 32, so that a key is one long.
+    keys = F.expr("array(shiftrightunsigned(fp, 32), (fp & 4294967295L) + 4294967296L)")
+    table = placed.select(F.col("root").alias("to"), F.col("fp").alias("y"), F.explode(keys).alias("key"))
+    probes = placed.select(F.col("root").alias("from"), F.col("fp").alias("x"), F.explode(keys).alias("own"))
+    probes = _round_balls(probes, 32)
+    return across_roots(probes, table, F.bit_count(F.expr("x ^ y")) <= max_bits).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _round_balls(probes: DataFrame, width: int) -> DataFrame:
+    """``own`` as every ``key`` to look up. Two keys that differ in one bit have different parities, so only even
+    keys go round their ball and each pair is met once; equal keys meet without a flip."""
+    even = f"bit_count(own & {(1 << width) - 1}L) % 2 = 0"
+    flips = F.expr(f"CASE WHEN {even} THEN concat(array(0L), transform(sequence(0, {width - 1}), i -> shiftleft(1L, i))) ELSE array(0L) END")
+    rest = [c for c in probes.columns if c != "own"]
+    return probes.select("*", F.explode(flips).alias("flip")).select(*rest, F.expr("own ^ flip").alias("key"))
+
+
+def across_roots(probes: DataFrame, table: DataFrame, near: Column) -> DataFrame:
+    """Rows of ``probes`` (from, key, ...) and ``table`` (to, key, ...) that share a key, have different roots and are ``near``.
+
+    In a hot key (over ``HOT_KEY`` rows of the table) most rows have one root, as its members were linked to
+    their least one before. Probes of that root meet only the other rows there, so a component of any size
+    isn't compared with itself: the work is the rows times those of other components. No pair across is lost.
+    """
+    sizes = table.groupBy("key", "to").agg(F.count("*").alias("n")).groupBy("key")
+    hot = sizes.agg(F.sum("n").alias("rows"), F.max_by("to", F.struct("n", "to")).alias("main")).where(F.col("rows") > HOT_KEY).select("key", "main").checkpoint()
+    apart = (F.col("from") != F.col("to")) & near
+    plain = probes.join(hot, "key", "left_anti").join(table, "key").where(apart)
+    mine = F.when(F.col("from") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    asked = probes.join(hot, "key").select(*probes.columns, F.explode(mine).alias("in_main"))
+    filed = table.join(hot, "key").select(*table.columns, (F.col("to") == F.col("main")).alias("in_main"))
+    split = asked.join(filed, ["key", "in_main"]).where(apart)
+    return plain.unionByName(split.select(*plain.columns))
+
+
+def _stars(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """Links (a, b) of each half's members to the least member that has the same half, where near."""
+    halves = F.expr("array(shiftrightunsigned(fp, 32), (fp & 4294967295L) + 4294967296L)")
+    table = distinct.select("fp", F.explode(halves).alias("key"))
+    least = table.groupBy("key").agg(F.min("fp").alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m")
+    return table.join(least, "key").where("fp != m").where(F.bit_count(F.expr("fp ^ m")) <= max_bits).select(F.col("m").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -135,7 +179,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     ensure_checkpoint_dir(df.sparkSession)
     prints = fingerprints(df, doc_id, text, width).checkpoint()
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
-    found = components(links(distinct.select("fp"), max_bits))
+    stars = _stars(distinct.select("fp"), max_bits).checkpoint()
+    root = components(stars)
+    placed = distinct.join(root, distinct.fp == root.node, "left").select("fp", F.coalesce("root", "fp").alias("root")).checkpoint()
+    found = components(stars.unionAll(_ball_links(placed, max_bits)))
     rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     member = rooted.join(ids, "root").select("fp", "component_id")
@@ -202,18 +249,14 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ma
     stars = stars.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().checkpoint()
     root = components(stars)
     placed = rows.join(root, rows.id == root.node, "left").select("id", *parts, F.coalesce("root", "id").alias("root")).checkpoint()
-    # Two keys that differ in one bit have different parities, so only even keys go round their ball, and each pair
-    # is met once; equal keys meet without a flip. All deciding bits travel along: what is met is decided within the
-    # join, and only links between components come out.
+    # All deciding bits travel along: what is met is decided within the join, and only links between components come out.
     width = segments[0][1]
     keyed = F.array(*(F.expr(f"{_segment(*s)} + {i << 40}L") for i, s in enumerate(segments)))
     bits = ["b0", "b1", "b2", "b3"]
     table = placed.select(F.col("root").alias("to"), *(F.col(c).alias(f"y{c[1]}") for c in bits), F.explode(keyed).alias("key"))
     probes = placed.select(F.col("root").alias("from"), *(F.col(c).alias(f"x{c[1]}") for c in bits), F.explode(keyed).alias("own"))
-    flips = F.expr(f"CASE WHEN bit_count(own & {(1 << width) - 1}L) % 2 = 0 THEN concat(array(0L), transform(sequence(0, {width - 1}), i -> shiftleft(1L, i))) ELSE array(0L) END")
-    probes = probes.select("*", F.explode(flips).alias("flip")).select("from", "x0", "x1", "x2", "x3", F.expr("own ^ flip").alias("key"))
     apart = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(4))
-    met = probes.join(table, "key").where((F.col("from") != F.col("to")) & F.expr(f"{apart} <= {max_bits}"))
+    met = across_roots(_round_balls(probes, width), table, F.expr(f"{apart} <= {max_bits}"))
     links_ = met.select(F.col("from").alias("a"), F.col("to").alias("b")).distinct()
     root = components(stars.unionAll(links_))
     final = rows.join(root, rows.id == root.node, "left").select(*parts, F.coalesce("root", "id").alias("component_id"))

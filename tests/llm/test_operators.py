@@ -146,6 +146,29 @@ def test_links_are_all_pairs_within_three_bits(spark):
     assert got == want
 
 
+def test_hot_keys_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_KEY", 8)
+    pick = random.Random(3)
+    half = pick.getrandbits(32) << 32
+    prints = {i: half | (pick.getrandbits(32) & 0xFFF if i % 3 else pick.getrandbits(32)) for i in range(300)}
+    prints |= {300 + i: p ^ (1 << 40) for i, p in list(prints.items())[:50]}
+    rows = [(p - (1 << 64) if p >> 63 else p,) for p in set(prints.values())]
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame(rows, "fp long")).collect()}
+    values = [v for (v,) in rows]
+    assert got == {(a, b) for a in values for b in values if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 3}
+    stars = simhash._stars(spark.createDataFrame(rows, "fp long"), 3).collect()
+    want = plain_components({v: v & (1 << 64) - 1 for v in sorted(values)})
+    root = plain_components({v: v & (1 << 64) - 1 for v in sorted(values)}, bits=0)
+    for a, b in sorted((r.a, r.b) for r in stars):
+        low, high = sorted((root[a], root[b]))
+        root = {k: low if r == high else r for k, r in root.items()}
+    placed = spark.createDataFrame([(v, root[v]) for v in values], "fp long, root long")
+    for r in simhash._ball_links(placed, 3).collect():
+        low, high = sorted((root[r.a], root[r.b]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    assert root == want
+
+
 def test_similar_texts_leave_one(spark):
     pick = random.Random(4)
     words = ["w%d" % pick.randrange(5000) for _ in range(400)]
