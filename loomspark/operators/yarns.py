@@ -123,3 +123,11 @@ def next_filled(cells: DataFrame) -> DataFrame:
     w = Window.partitionBy("row").orderBy("col")
     ahead = F.first(filled, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
     return cells.withColumn("following", F.coalesce(ahead, F.min(filled).over(Window.partitionBy("row"))))
+
+
+def weft_knit(spark: SparkSession, wale_height: float, loop_height: float, course_width: float, thickness: float) -> DataFrame:
+    """A loop of a weft knit: nine nodes, the right half mirroring the left about the middle of the course."""
+    w, t = course_width, thickness
+    left = [(0.0, 0.0, t / 2), ((w + 2 * t) / 4, (loop_height - wale_height) / 2, 0.0), (w / 4, loop_height / 2, -t / 2), ((w - 2 * t) / 4, (loop_height + wale_height) / 2, 0.0)]
+    loop = [*left, (w / 2, loop_height, t / 2), *((w - x, y, z) for x, y, z in reversed(left))]
+    return spark.createDataFrame([(0, i, *p) for i, p in enumerate(loop)], "yarn_id int, node_idx int, x double, y double, z double")
