@@ -131,3 +131,17 @@ def weft_knit(spark: SparkSession, wale_height: float, loop_height: float, cours
     left = [(0.0, 0.0, t / 2), ((w + 2 * t) / 4, (loop_height - wale_height) / 2, 0.0), (w / 4, loop_height / 2, -t / 2), ((w - 2 * t) / 4, (loop_height + wale_height) / 2, 0.0)]
     loop = [*left, (w / 2, loop_height, t / 2), *((w - x, y, z) for x, y, z in reversed(left))]
     return spark.createDataFrame([(0, i, *p) for i, p in enumerate(loop)], "yarn_id int, node_idx int, x double, y double, z double")
+
+
+def spline_points(nodes: DataFrame, per_segment: int, key: str = "yarn_id", order: str = "node_idx") -> DataFrame:
+    """(key, segment, j, x, y, z, tx, ty, tz) on the natural cubic spline at ``per_segment`` equal steps of each segment's
+    parameter, with tangents of length one. A yarn of one node has no segment."""
+    w = along(key, order)
+    at = nodes.select(key, order, "x", "y", "z").join(spline(nodes, key, order), [key, order])
+    ahead = at.select("*", *(F.lead(c).over(w).alias(f"{c}2") for c in ("x", "y", "z", "mx", "my", "mz"))).where("x2 IS NOT NULL")
+    rows = ahead.select("*", F.explode(F.sequence(F.lit(0), F.lit(per_segment - 1))).alias("j")).withColumn("t", F.col("j") / F.lit(float(per_segment)))
+    place = [f"(1 - t) * {c} + t * {c}2 + (pow(1 - t, 3) - (1 - t)) * m{c} / 6 + (pow(t, 3) - t) * m{c}2 / 6 AS p{c}" for c in "xyz"]
+    slope = [f"{c}2 - {c} + (1 - 3 * pow(1 - t, 2)) * m{c} / 6 + (3 * pow(t, 2) - 1) * m{c}2 / 6 AS d{c}" for c in "xyz"]
+    found = rows.selectExpr(key, f"{order} AS segment", "j", *place, *slope)
+    size = "nullif(sqrt(dx * dx + dy * dy + dz * dz), 0)"
+    return found.selectExpr(key, "segment", "j", *(f"p{c} AS {c}" for c in "xyz"), *(f"d{c} / {size} AS t{c}" for c in "xyz"))

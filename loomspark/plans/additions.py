@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.operators import deform, octree, yarns
+from loomspark.functions import cells, sections
+from loomspark.operators import deform, levels, octree, yarns
 from loomspark.plans.registry import register
 from loomspark.session import table
 from loomspark.sources import drafts, exports
@@ -128,3 +129,78 @@ def k20_material_lines(spark, sf_dir):
     made = [("Mat0", [3.5, 0.25], [0.5]), ("Mat1", [float(i) for i in range(1, 10)], [0.5, 0.25, 0.125])]
     materials = spark.createDataFrame(made, "name string, elastic array<double>, expansion array<double>")
     return exports.material_lines(materials, spark.createDataFrame([(-1, "Mat0"), (0, "Mat1")], "yarn_id int, material string"))
+
+
+@register("s2_textile_points", "SELECT CAST(n AS INT) AS yarn_id, CAST(k AS INT) AS pt_idx, x, 2::DOUBLE AS width, 1::DOUBLE AS uz FROM (SELECT row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS k, s_nationkey AS file, round(s_acctbal, 6) AS x, 0 AS n FROM supplier)")
+def s2_textile_points(spark, sf_dir):
+    """Suppliers of a nation as the points of one yarn of a textile file, nine lines each."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("file"), F.col("s_suppkey").cast("long").alias("at"), F.expr("concat(format_string('%.6f', s_acctbal), ' 1 0\n0.1\n2 0.5\n0\n0 -1 0\n0 0 1\n1 0 0\n0.7\n0.001')").alias("text"))
+    files = rows.select("file").distinct()
+    head = files.select("file", F.lit(-1).cast("long").alias("at"), F.lit("5.9 5.5 0.4\n1.57\n1\n1\nglass\nL\nglass 21\n0.9 0.02\n1.5\n796\n1\n198").alias("text"))
+    end = files.select("file", F.lit(1 << 40).cast("long").alias("at"), F.lit("*").alias("text"))
+    text = head.unionByName(rows).unionByName(end).select("file", "at", F.posexplode(F.split("text", "\n")).alias("k", "value"))
+    return drafts.parse_points(_lines(text, "at", "k"))[2].selectExpr("yarn_id", "pt_idx", "x", "width", "uz")
+
+
+@register("w6_merged_levels", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 4::BIGINT ELSE 5::BIGINT END AS levels, CASE WHEN p_size % 2 = 0 THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END AS second FROM part")
+def w6_merged_levels(spark, sf_dir):
+    """Six heights merged within 0.2, then divided to steps of about one.
+
+    By hand: 0, 0.01, 1, 1.1, 3, 3.02 merge to 0, 1.05, 3.02, and 2.035 comes between; 0, 0.01, 1, 1.5, 3, 3.02 merge to
+    0, 1, 1.5, 3.02, half a step isn't divided, and 2.26 comes between.
+    """
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "array(3.02D, 0D, 1D, 0.01D, 1.1D + p_size % 2 * 0.4D, 3D) AS levels")
+    found = levels.divide_levels(levels.merge_levels(rows, 0.2), "1D")
+    return found.selectExpr("p_partkey", "CAST(size(levels) AS BIGINT) AS levels", "round(levels[1], 9) AS second")
+
+
+@register("p14_open_ends", "SELECT n AS node_id FROM (SELECT unnest([l_partkey % 97, 100 + l_suppkey % 13]) AS n FROM lineitem WHERE l_linenumber = 7) GROUP BY n HAVING count(*) = 1")
+def p14_open_ends(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").selectExpr("l_orderkey AS elem_id", "array(l_partkey % 97, 100 + l_suppkey % 13) AS nodes")
+    return levels.open_ends(lines)
+
+
+@register("f30_f33_bezier_section", "SELECT p_partkey, CAST(i AS INT) AS i, round(CASE i % 4 WHEN 0 THEN w * cx ELSE w * cx END, 9) AS x, round(h * cy, 9) AS y FROM (SELECT p_partkey, p_size / 10.0::DOUBLE AS w, p_size / 20.0::DOUBLE AS h FROM part), (VALUES (0, 1.0::DOUBLE, 0.0::DOUBLE), (1, 0.0, 0.75), (2, -1.0, 0.0), (3, 0.0, -0.75)) v(i, cx, cy)")
+def f30_bezier_section(spark, sf_dir):
+    """Two cubics, above and below, at their ends and middles."""
+    ring = "array(named_struct('x', w, 'y', 0D), named_struct('x', w, 'y', h), named_struct('x', -w, 'y', h), named_struct('x', -w, 'y', 0D), named_struct('x', -w, 'y', -h), named_struct('x', w, 'y', -h))"
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size / 10D AS w", "p_size / 20D AS h").withColumn("ring", F.expr(ring))
+    found = rows.select("p_partkey", F.posexplode(F.expr(sections.sample(lambda t: sections.bezier("ring", t), 4))).alias("i", "p"))
+    return found.selectExpr("p_partkey", "i", "round(p.x, 9) + 0D AS x", "round(p.y, 9) + 0D AS y")
+
+
+@register("i3_equal_distances", "SELECT DISTINCT p_size, true AS even, true AS on_outline FROM part")
+def i3_equal_distances(spark, sf_dir):
+    """Twelve points of ellipses: all sides as long as each other, all points on the outline."""
+    rows = table(spark, sf_dir, "part").select("p_size").distinct().selectExpr("p_size", "1D AS w", "0.4D + p_size / 100D AS h")
+    outline = lambda t: (f"(w / 2 * cos(2 * pi() * {t}))", f"(h / 2 * sin(2 * pi() * {t}))")
+    found = rows.withColumn("r", F.expr(sections.equally_spaced(outline, 12)))
+    sides = found.withColumn("d", F.expr("transform(sequence(0, 11), i -> sqrt(pow(r[i].x - r[(i + 1) % 12].x, 2) + pow(r[i].y - r[(i + 1) % 12].y, 2)))"))
+    return sides.selectExpr("p_size", "array_max(d) - array_min(d) < 1e-5 AS even", "forall(r, p -> abs(4 * p.x * p.x / (w * w) + 4 * p.y * p.y / (h * h) - 1) < 1e-9) AS on_outline")
+
+
+@register("f39_spline_points")
+def f39_spline_points(spark, sf_dir):
+    from loomspark.plans.models import paths
+
+    return yarns.spline_points(paths(spark, sf_dir), 3).selectExpr("yarn_id", "segment", "j", "round(x, 6) AS x", "round(z, 6) AS z")
+
+
+@register("g3_cell_edits", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'XYX' WHEN 1 THEN 'YXX' ELSE 'XXY' END AS down, CASE p_size % 3 WHEN 0 THEN 'XYX' WHEN 1 THEN 'XXY' ELSE 'YXX' END AS up, 'XYXYY' AS added, 'XX' AS fewer FROM part")
+def g3_cell_edits(spark, sf_dir):
+    """A cell of three yarns pushed down and up, with two layers more, and without its only weft."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size % 3 AS k", "array('X', 'Y', 'X') AS c")
+    edits = (("down", cells.push_down("c", "k")), ("up", cells.push_up("c", "k")), ("added", cells.add_layers("c", "'Y'", 2)), ("fewer", cells.delete_layers("c", "'Y'", 1)))
+    return rows.selectExpr("p_partkey", *(f"array_join({e}, '') AS {n}" for n, e in edits))
+
+
+@register("k10_mixed_elements", "SELECT row_number() OVER (ORDER BY place, id) AS number, kind, first_node FROM (SELECT p_partkey AS id, CASE p_size % 4 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 4 END AS place, CASE p_size % 4 WHEN 1 THEN 'C3D4' WHEN 2 THEN 'C3D6' ELSE 'S4R' END AS kind, CASE p_size % 4 WHEN 2 THEN p_partkey + 4 ELSE p_partkey + 1 END AS first_node FROM part WHERE p_size % 4 != 0)")
+def k10_mixed_elements(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS elem_id", "element_at(array('LINE', 'TET', 'WEDGE', 'QUAD'), p_size % 4 + 1) AS type")
+    rows = rows.withColumn("nodes", F.expr("sequence(elem_id, elem_id + CASE type WHEN 'WEDGE' THEN 5 WHEN 'LINE' THEN 1 ELSE 3 END)"))
+    return exports.mixed_elements(rows).selectExpr("number", "kind", "nodes[0] AS first_node")
+
+
+@register("k6_matrix_sets", "SELECT CAST(line_no AS INT) AS line_no, value FROM (VALUES (0, '*ElSet, ElSet=Matrix, Generate'), (1, '1, 24, 1'), (2, '*NSet, NSet=AllNodes, Generate'), (3, '1, 60, 1')) v(line_no, value)")
+def k6_matrix_sets(spark, sf_dir):
+    return exports.matrix_set_lines(spark, (2, 3, 4))

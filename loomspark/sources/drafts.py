@@ -64,6 +64,30 @@ def parse_paths(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     return lattice, nodes, points, domain
 
 
+def parse_points(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells (file, x, y, z, alpha), yarn types (file, type_no, name, shape) and points of textile files with nine lines to a point.
+
+    point(file, yarn_id, pt_idx, type_no, x, y, z, width, height, ux, uy, uz, tx, ty, tz). The head is the cell, its
+    angle, the number of types, six lines for each and a count of sections; a yarn is its type, a count, its points and
+    a line with an asterisk. Where a line stands in its yarn tells its meaning; a record that breaks off is left out.
+    """
+    number = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
+    rows = lines.withColumn("n", number)
+    head = rows.where("n <= 3").groupBy("file").agg(*(F.max(F.when(F.col("n") == k, F.col("value"))).alias(c) for k, c in ((1, "cell"), (2, "alpha"), (3, "types"))))
+    head = head.selectExpr("file", "transform(split(trim(cell), ' +'), v -> CAST(v AS DOUBLE)) AS v", "CAST(trim(alpha) AS DOUBLE) AS alpha", "CAST(trim(types) AS INT) AS types")
+    rows = rows.join(head.select("file", "types"), "file")
+    kinds = rows.where("n > 3 AND n <= 3 + 6 * types").groupBy("file", F.expr("(n - 4) div 6").alias("k")).agg(*(F.max(F.when((F.col("n") - 4) % 6 == i, F.trim("value"))).alias(c) for i, c in enumerate(("type_no", "name", "shape"))))
+    types = kinds.selectExpr("file", "CAST(type_no AS INT) AS type_no", "name", "shape")
+    upto = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    body = rows.where("n > 4 + 6 * types AND trim(value) != ''").withColumn("star", F.trim("value") == "*").withColumn("yarn_id", F.sum(F.col("star").cast("int")).over(upto)).where("NOT star")
+    body = body.withColumn("r", F.row_number().over(Window.partitionBy("file", "yarn_id").orderBy("n")) - 1)
+    kind = body.where("r = 0").selectExpr("file", "yarn_id", "CAST(trim(value) AS INT) AS type_no")
+    fields = body.where("r >= 2").groupBy("file", "yarn_id", F.expr("CAST((r - 2) div 9 AS INT)").alias("pt_idx")).agg(F.count("*").alias("size"), *(F.max(F.when((F.col("r") - 2) % 9 == i, F.expr("transform(split(trim(value), ' +'), v -> CAST(v AS DOUBLE))"))).alias(c) for i, c in ((0, "p"), (2, "d"), (5, "u"), (6, "t"))))
+    place = [f"{a}[{i}] AS {'' if a == 'p' else a}{c}" for a in "put" for i, c in enumerate("xyz")]
+    points = fields.where("size = 9").join(kind, ["file", "yarn_id"]).selectExpr("file", "CAST(yarn_id AS INT) AS yarn_id", "pt_idx", "type_no", *place[:3], "d[0] AS width", "d[1] AS height", *place[3:])
+    return head.selectExpr("file", "v[0] AS x", "v[1] AS y", "v[2] AS z", "alpha"), types, points
+
+
 def parse_draft(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Layers (file, warp, yarns), cells (file, weft, warp, level) and options (file, keyword, number, unit) of weave drafts.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Cell codes of the VTK file format
@@ -108,3 +108,31 @@ def material_lines(materials: DataFrame, sections: DataFrame) -> DataFrame:
     low = sections.selectExpr("'' AS name", "yarn_id", "CASE WHEN yarn_id = -1 THEN concat('*Solid Section, ElSet=Matrix, Material=', material) ELSE concat('*Solid Section, ElSet=Yarn', yarn_id, ', Material=', material, ', Orientation=Orientations') END AS card")
     low = low.select("name", F.posexplode(F.expr("array(card, '1.0,')")).alias("k", "value"), "yarn_id").selectExpr("name", "CAST((yarn_id + 1) * 2 + k AS INT) AS line_no", "value")
     return top.unionByName(low)
+
+
+#: Element types of a mixed deck in the order they are written, with their names there.
+DECK_TYPES = {"TET": "C3D4", "WEDGE": "C3D6", "HEX": "C3D8R", "QUADRATIC_TET": "C3D10", "QUAD": "S4R"}
+
+
+def mixed_elements(elements: DataFrame) -> DataFrame:
+    """(number, kind, nodes) of a mesh (elem_id, type, nodes from 0), numbered from 1 type by type, nodes from 1.
+
+    A wedge's two triangles change places, as the deck counts them from the other side. Other types are left out.
+    Numbers are places within ranges of ids plus the ranges' starts.
+    """
+    width = 65_536
+    place = F.create_map(*(F.lit(v) for i, t in enumerate(DECK_TYPES) for v in (t, i)))
+    kind = F.create_map(*(F.lit(v) for pair in DECK_TYPES.items() for v in pair))
+    rows = elements.where(F.col("type").isin(*DECK_TYPES)).select("elem_id", place[F.col("type")].alias("at"), kind[F.col("type")].alias("kind"), F.expr(f"elem_id div {width}").alias("range"), F.expr("transform(CASE WHEN type = 'WEDGE' THEN concat(slice(nodes, 4, 3), slice(nodes, 1, 3)) ELSE nodes END, n -> n + 1)").alias("nodes"))
+    totals = rows.groupBy("at", "range").agg(F.count("*").alias("total"))
+    before = F.sum("total").over(Window.orderBy("at", "range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select("at", "range", F.coalesce(before, F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("at", "range").orderBy("elem_id"))
+    return rows.withColumn("own", own).join(starts, ["at", "range"]).select((F.col("start") + F.col("own")).alias("number"), "kind", "nodes")
+
+
+def matrix_set_lines(spark: SparkSession, shape: tuple[int, int, int]) -> DataFrame:
+    """(line_no, value): the sets of all elements and of all nodes of a grid that is matrix only, as ranges."""
+    nx, ny, nz = shape
+    text = ("*ElSet, ElSet=Matrix, Generate", f"1, {nx * ny * nz}, 1", "*NSet, NSet=AllNodes, Generate", f"1, {(nx + 1) * (ny + 1) * (nz + 1)}, 1")
+    return spark.createDataFrame(list(enumerate(text)), "line_no int, value string")
