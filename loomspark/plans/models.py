@@ -62,7 +62,13 @@ sql("a18_yarn_widths", "SELECT p_brand, round(avg(p_size), 6) AS mean_width, max
 sql("a23_benchmark_summary", "SELECT event_type, count(*) AS runs, min(value) AS fastest, round(avg(value), 6) AS mean, max(value) AS slowest FROM {events} GROUP BY event_type")
 sql("o2_sorted_by_height", "SELECT s_nationkey, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS INT) AS place FROM {supplier}")
 sql("o5_arg_min", "SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS r FROM {lineitem}) WHERE r = 1")
-sql("o7_closest_reed", "SELECT p_partkey, reed FROM (SELECT p_partkey, reed, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(p_size - reed), reed) AS r FROM {part} CROSS JOIN (VALUES (5), (12), (20), (31), (44)) v(reed)) WHERE r = 1")
+@register("o7_closest_reed", "SELECT p_partkey, reed FROM (SELECT p_partkey, reed, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(p_size - reed), reed) AS r FROM part CROSS JOIN (VALUES (5), (12), (20), (31), (44)) v(reed)) WHERE r = 1")
+def o7_closest_reed(spark, sf_dir):
+    """The nearest of a few reeds; the smaller of two as near. The reeds are in the expression, so nothing is joined."""
+    nearest = "array_min(transform(array(5, 12, 20, 31, 44), r -> named_struct('d', abs(p_size - r), 'reed', r))).reed"
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{nearest} AS reed")
+
+
 sql("u15_contact_pairs", "SELECT DISTINCT least(l_partkey % 20, l_suppkey % 20) AS a, greatest(l_partkey % 20, l_suppkey % 20) AS b FROM {lineitem} WHERE l_partkey % 20 != l_suppkey % 20")
 sql("p11_pattern_validity", "SELECT s_nationkey AS pattern_row, count(DISTINCT n) = 1 AS valid FROM (SELECT s_nationkey, s_suppkey % 5 AS cell, count(*) AS n FROM {supplier} GROUP BY 1, 2) GROUP BY s_nationkey")
 sql("p12_repeat_is_end_to_end", "SELECT o_custkey, abs(max(o_totalprice) - min(o_totalprice) - 1000) < 1e-6 OR abs(max(o_totalprice) - min(o_totalprice) + 1000) < 1e-6 AS matches FROM {orders} GROUP BY o_custkey")
