@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions import polygons, vec
+
 #: Sections whose corners are this far apart are the same.
 SECTION_TOLERANCE = 1e-7
 
@@ -55,3 +57,24 @@ def match_sections(polygons: DataFrame, sections: DataFrame, tolerance: float =
     met = left.join(right, ["key", "n"]).withColumn("start_index", F.expr(f"CAST({start} AS INT)")).where("start_index >= 0")
     same = f"forall(sequence(0, n - 1), i -> {apart('s[i]', 'p[(start_index + i) % n]')} <= {tolerance}D)"
     return met.where(same).groupBy("poly_id").agg(F.min(F.struct("image", "start_index")).alias("m")).select("poly_id", "m.image", "m.start_index")
+
+
+def move(nodes: DataFrame, axis: tuple[float, float, float], angle: float, origin: tuple[float, float, float] = (0.0, 0.0, 0.0), shift: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """Nodes (x, y, z and further columns) turned about an axis through ``origin``, then shifted; vectors turn alike without either."""
+    text = lambda v: tuple(f"CAST({float(c)!r} AS DOUBLE)" for c in v)
+    q = vec.quaternion(text(axis), text((angle,))[0])
+    placed = vec.add(vec.add(vec.rotate(q, vec.sub(("x", "y", "z"), text(origin))), text(origin)), text(shift))
+    return nodes.select(*(F.expr(placed["xyz".index(c)]).alias(c) if c in ("x", "y", "z") else F.col(c) for c in nodes.columns))
+
+
+def section_elements(points: DataFrame, elements: DataFrame) -> DataFrame:
+    """point_id, type, elem_id: the element of its section's mesh that a point is in.
+
+    points(point_id, key, x, y); elements(key, type, elem_id, ring), rings arrays of (x, y). Triangles come before quads
+    and then smaller numbers; points outside all elements are left out. A section has few elements, so points meet
+    those of their key.
+    """
+    met = points.select("point_id", "key", "x", "y").join(elements.where(F.col("type").isin("TRI", "QUAD")).select("key", "type", "elem_id", "ring"), "key")
+    inside = met.where("size(ring) > 2").where(polygons.inside_closed("ring", "x", "y"))
+    first = F.min(F.struct((F.col("type") == "QUAD").alias("late"), "elem_id", "type"))
+    return inside.groupBy("point_id").agg(first.alias("s")).select("point_id", "s.type", "s.elem_id")

@@ -204,3 +204,22 @@ def k10_mixed_elements(spark, sf_dir):
 @register("k6_matrix_sets", "SELECT CAST(line_no AS INT) AS line_no, value FROM (VALUES (0, '*ElSet, ElSet=Matrix, Generate'), (1, '1, 24, 1'), (2, '*NSet, NSet=AllNodes, Generate'), (3, '1, 60, 1')) v(line_no, value)")
 def k6_matrix_sets(spark, sf_dir):
     return exports.matrix_set_lines(spark, (2, 3, 4))
+
+
+@register("f46_moved_nodes", "SELECT p_partkey, round(1 - p_size / 5.0::DOUBLE, 9) + 0.0 AS x, round(p_partkey % 7 - 1.0::DOUBLE, 9) + 0.0 AS y, 2.5::DOUBLE AS z FROM part")
+def f46_moved_nodes(spark, sf_dir):
+    """A quarter turn about the upright line through (1, 0, 0), then two up."""
+    from math import pi
+
+    nodes = table(spark, sf_dir, "part").selectExpr("p_partkey", "CAST(p_partkey % 7 AS DOUBLE) AS x", "p_size / 5D AS y", "0.5D AS z")
+    return deform.move(nodes, (0, 0, 3), pi / 2, (1, 0, 0), (0, 0, 2)).selectExpr("p_partkey", *(f"round({c}, 9) + 0D AS {c}" for c in "xyz"))
+
+
+@register("j17_section_elements", "SELECT point_id, CASE WHEN x < 1 THEN 'TRI' ELSE 'QUAD' END AS type, CASE WHEN x >= 1 THEN 0 WHEN x + y < 1 THEN 0 ELSE 1 END AS elem_id FROM (SELECT p_partkey AS point_id, p_size / 20.3::DOUBLE AS x, (p_partkey % 17) / 17.0::DOUBLE + 0.011 AS y FROM part) WHERE x < 2 AND y < 1")
+def j17_section_elements(spark, sf_dir):
+    """Parts as points in a unit square of two triangles and, beside it, one quad."""
+    p = lambda *v: [(float(a), float(b)) for a, b in v]
+    made = [(0, "TRI", 0, p((0, 0), (1, 0), (0, 1))), (0, "TRI", 1, p((1, 0), (1, 1), (0, 1))), (0, "QUAD", 0, p((1, 0), (2, 0), (2, 1), (1, 1)))]
+    elements = spark.createDataFrame(made, "key int, type string, elem_id int, ring array<struct<x:double,y:double>>")
+    points = table(spark, sf_dir, "part").selectExpr("p_partkey AS point_id", "0 AS key", "p_size / 20.3D AS x", "(p_partkey % 17) / 17D + 0.011D AS y")
+    return deform.section_elements(points, elements)

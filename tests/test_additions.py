@@ -147,3 +147,19 @@ def test_hexes_are_numbered_across_ranges(spark):
     voxels = spark.range(70_000).selectExpr("id AS vid", "CASE WHEN id % 2 = 0 THEN NULL ELSE 3 END AS yarn_id")
     got = exports.hex_elements(voxels, (100, 100, 7), matrix=False).orderBy("vid").select("elem_id").collect()
     assert [r.elem_id for r in got] == list(range(1, 35_001))
+
+
+def test_moving_keeps_other_columns_and_lengths(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0, 3.0, "a"), (2, None, 0.0, 0.0, "b")], "id int, x double, y double, z double, note string")
+    one, two = deform.move(df, (1, 1, 1), 0.7).orderBy("id").collect()
+    assert one.note == "a" and abs(one.x**2 + one.y**2 + one.z**2 - 14) < 1e-9
+    assert (two.x, two.y, two.z) == (None, None, None)
+
+
+def test_triangles_come_before_quads(spark):
+    ring = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    schema = "key int, type string, elem_id int, ring array<struct<x:double,y:double>>"
+    elements = spark.createDataFrame([(0, "QUAD", 0, ring), (0, "TRI", 5, ring[:3]), (0, "TRI", 6, ring[:3]), (0, "TRI", 1, []), (1, "QUAD", 3, ring)], schema)
+    points = spark.createDataFrame([(0, 0, 1.5, 0.5), (1, 0, 0.5, 1.5), (2, 1, 1.5, 0.5), (3, 1, 5.0, 5.0)], "point_id int, key int, x double, y double")
+    got = {tuple(r) for r in deform.section_elements(points, elements).collect()}
+    assert got == {(0, "TRI", 5), (1, "QUAD", 0), (2, "QUAD", 3)}
