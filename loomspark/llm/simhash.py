@@ -28,10 +28,11 @@ SHINGLE = 3
 MAX_BITS = 3
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: For groups of similar texts: words of a shingle, the sketch's longs, how many keys of how many of its bits there are,
-#: the longs that travel along, and how many of their bits may differ (at a similarity of 0.8 about 39 do, give or take 6).
-WIDE_WORDS, SKETCH, KEYS, KEY_BITS = 5, 8, 48, 16
-PRINTS, WIDE_BITS = ("f0", "f1", "f2", "f3"), 48
+#: For groups of similar texts: words of a shingle, the Jaccard similarity of two sets that links them, the sketch's longs,
+#: how many keys of how many of its bits there are, the longs that travel along, and how many of their bits may differ
+#: in a candidate (at a similarity of 0.8 about 19 do, give or take 4).
+WIDE_WORDS, ALIKE, SKETCH, KEYS, KEY_BITS = 5, 0.8, 8, 48, 16
+PRINTS, WIDE_BITS = ("f0", "f1"), 40
 #: Each key's bits: those of a shuffled sketch one behind the other, and of a second one where the first is used up.
 _PLACES = np.concatenate([np.random.default_rng(42 + i).permutation(64 * SKETCH) for i in range(2)])[: KEYS * KEY_BITS].reshape(KEYS, KEY_BITS)
 #: Rows under one key from which its main component is kept from meeting itself.
@@ -197,28 +198,37 @@ def sketch(text: str | None) -> tuple[int, list[int], list[int]]:
 
     A key is ``KEY_BITS`` of the sketch's bits with its number above them; every sketch has ``KEYS`` of them.
     """
-    words = words_of(text)
-    hashes = np.unique(shingle_hashes(words, WIDE_WORDS)) if words else np.empty(0, "<u8")
+    hashes = set_of(text)
     prints = majority(hashes, SKETCH)
     bits = np.unpackbits(np.array(prints, "<u8").view(np.uint8), bitorder="little").astype(np.int64)
     keys = (bits[_PLACES] << np.arange(KEY_BITS)).sum(1) + (np.arange(KEYS) << KEY_BITS)
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), prints, keys.tolist()
 
 
+def set_of(text: str | None) -> np.ndarray:
+    """The distinct ``WIDE_WORDS``-word shingles' hashes in order; none if there is no word."""
+    words = words_of(text)
+    return np.unique(shingle_hashes(words, WIDE_WORDS)) if words else np.empty(0, "<u8")
+
+
 def sketches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, node (the same for equal sets of shingles), the sketch's first longs ``PRINTS`` and keys."""
+    """doc_id, content (a hash of the text), node (the same for equal sets of shingles), the sketch's first longs ``PRINTS`` and keys."""
 
     def make():
         def work(columns):
             found = [sketch(value) for value in columns[1]]
             signed = lambda values: [v - (1 << 64) if v >> 63 else v for v in values]
             prints = {c: signed(f[1][i] for f in found) for i, c in enumerate(PRINTS)}
-            return {"doc_id": columns[0], "node": signed(f[0] for f in found), "keys": [f[2] for f in found]} | prints
+            return {"doc_id": columns[0], "content": columns[2], "node": signed(f[0] for f in found), "keys": [f[2] for f in found]} | prints
 
         return work
 
-    schema = "doc_id long, node long, keys array<int>, " + ", ".join(f"{c} long" for c in PRINTS)
-    return map_rows(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), make, schema)
+    schema = "doc_id long, content long, node long, keys array<int>, " + ", ".join(f"{c} long" for c in PRINTS)
+    return map_rows(_with_content(df, doc_id, text), make, schema)
+
+
+def _with_content(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("content"))
 
 
 def _near(x: str, y: str, max_bits: int) -> Column:
@@ -242,8 +252,37 @@ def candidates(placed: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
     return across_roots(probes, table, (F.col("a") < F.col("b")) & _near("x", "y", max_bits)).select("a", "b").distinct()
 
 
+def alike(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float = ALIKE) -> DataFrame:
+    """Of the pairs (a, b) of nodes (node, doc_id, content) those whose sets of shingles are alike by ``least``.
+
+    The sets are made again from the ``texts`` (doc_id, text, content), and only those of nodes in a pair.
+    """
+    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(asked, "node").select("node", F.col("doc_id").alias("_id"), F.col("content").alias("_content"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
+    found = texts.join(wanted, same).select("node", "text").dropDuplicates(["node"])
+    rows = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+
+    def make():
+        def work(columns):
+            keep = [i for i, (x, y) in enumerate(zip(columns[2], columns[3], strict=True)) if similarity(set_of(x), set_of(y)) >= least]
+            return {"a": [columns[0][i] for i in keep], "b": [columns[1][i] for i in keep]}
+
+        return work
+
+    return map_rows(rows.select("a", "b", "x", "y"), make, "a long, b long")
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sets; 0 if both are empty."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(len(x) + len(y) - both, 1)
+
+
 def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, component_id over texts whose sets of 5-word shingles are alike by 0.8 or more, as fingerprints tell.
+    """doc_id, component_id over texts whose sets of 5-word shingles are alike by 0.8 or more.
+
+    Fingerprints only find candidates, with a bound that a pair at 0.8 keeps; every link is decided by the sets themselves.
 
     At 0.8 up to 15 % of a fingerprint's bits differ, however the edits lie: sets of sizes m and n with c in common
     have an angle of acos(c / sqrt(m n)), and 2 J / (1 + J) is the least such cosine. So candidates share one of
@@ -256,11 +295,12 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     ensure_checkpoint_dir(df.sparkSession)
     every = sketches(df, doc_id, text).checkpoint()
-    nodes = every.dropDuplicates(["node"]).select("node", "keys", *PRINTS).checkpoint()
-    stars = star_candidates(nodes).checkpoint()
+    texts = _with_content(df, doc_id, text)
+    nodes = every.dropDuplicates(["node"]).checkpoint()
+    stars = alike(star_candidates(nodes).checkpoint(), texts, nodes).checkpoint()
     root = components(stars).withColumnRenamed("node", "_node")
     placed = nodes.join(root, F.col("node") == F.col("_node"), "left").select("node", "keys", *PRINTS, F.coalesce("root", "node").alias("root")).checkpoint()
-    root = components(stars.unionAll(candidates(placed))).withColumnRenamed("node", "_node")
+    root = components(stars.unionAll(alike(candidates(placed).checkpoint(), texts, nodes))).withColumnRenamed("node", "_node")
     rooted = every.join(root, F.col("node") == F.col("_node"), "left").select("doc_id", F.coalesce("root", "node").alias("root")).checkpoint()
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(ids, "root").select("doc_id", "component_id")

@@ -42,3 +42,36 @@ def test_keys_find_pairs_at_the_threshold(kind):
     pairs = edited_pairs(kind, 300, 450)
     met = sum(bool(set(simhash.sketch(a)[2]) & set(simhash.sketch(b)[2])) for a, b in pairs)
     assert met >= 0.94 * len(pairs)
+
+
+def groups_of(texts, least=0.8):
+    """The smallest id that each id reaches over pairs alike by ``least``, all pairs being compared."""
+    root = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and root[a] != root[b] and shingles(texts[a]) | shingles(texts[b]) and alike(texts[a], texts[b]) >= least:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def test_links_are_decided_at_the_threshold(spark):
+    """Texts alike by 0.55 to 0.79 all stay, those from 0.83 up leave one."""
+    pick = random.Random(6)
+    texts, k = {}, 0
+    for changed in (12, 16, 24, 33, 55, 62, 70, 80, 95):
+        for _ in range(4):
+            words = ["w%d" % pick.randrange(50000) for _ in range(404)]
+            texts[k], texts[k + 1] = " ".join(words), " ".join(["n%d" % pick.randrange(50000) for _ in range(changed)] + words[changed:])
+            k += 2
+    want = groups_of(texts)
+    assert 0 < sum(i != r for i, r in want.items()) < k // 2
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == want
+
+
+def test_groups_of_documents(spark, sf_dir):
+    """On the documents every pair at 0.8 or more is one group, and no pair below it links any."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == groups_of(texts)
