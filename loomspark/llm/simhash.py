@@ -212,23 +212,24 @@ def set_of(text: str | None) -> np.ndarray:
 
 
 def sketches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, content (a hash of the text), node (the same for equal sets of shingles), the sketch's first longs ``PRINTS`` and keys."""
+    """doc_id, row (the same for repeated rows only), node (the same for equal sets of shingles), the sketch's first longs ``PRINTS`` and keys."""
 
     def make():
         def work(columns):
             found = [sketch(value) for value in columns[1]]
             signed = lambda values: [v - (1 << 64) if v >> 63 else v for v in values]
             prints = {c: signed(f[1][i] for f in found) for i, c in enumerate(PRINTS)}
-            return {"doc_id": columns[0], "content": columns[2], "node": signed(f[0] for f in found), "keys": [f[2] for f in found]} | prints
+            return {"doc_id": columns[0], "row": columns[2], "node": signed(f[0] for f in found), "keys": [f[2] for f in found]} | prints
 
         return work
 
-    schema = "doc_id long, content long, node long, keys array<int>, " + ", ".join(f"{c} long" for c in PRINTS)
-    return map_rows(_with_content(df, doc_id, text), make, schema)
+    schema = "doc_id long, row long, node long, keys array<int>, " + ", ".join(f"{c} long" for c in PRINTS)
+    return map_rows(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), _row(doc_id, text).alias("row")), make, schema)
 
 
-def _with_content(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("content"))
+def _row(doc_id: str, text: str) -> Column:
+    """Tells rows apart whose ids are null, or equal over different texts. Nulls are skipped by the hash, hence the flags."""
+    return F.xxhash64(F.col(doc_id).isNull(), F.col(text).isNull(), F.col(doc_id).cast("long"), F.col(text))
 
 
 def _near(x: str, y: str, max_bits: int) -> Column:
@@ -253,14 +254,13 @@ def candidates(placed: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
 
 
 def alike(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float = ALIKE) -> DataFrame:
-    """Of the pairs (a, b) of nodes (node, doc_id, content) those whose sets of shingles are alike by ``least``.
+    """Of the pairs (a, b) of nodes (node, row) those whose sets of shingles are alike by ``least``.
 
-    The sets are made again from the ``texts`` (doc_id, text, content), and only those of nodes in a pair.
+    The sets are made again from the ``texts`` (row, text), and only those of nodes in a pair.
     """
     asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(asked, "node").select("node", F.col("doc_id").alias("_id"), F.col("content").alias("_content"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
-    found = texts.join(wanted, same).select("node", "text").dropDuplicates(["node"])
+    wanted = nodes.join(asked, "node").select("node", "row")
+    found = texts.join(wanted, "row").select("node", "text").dropDuplicates(["node"])
     rows = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def make():
@@ -279,8 +279,8 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / max(len(x) + len(y) - both, 1)
 
 
-def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, component_id over texts whose sets of 5-word shingles are alike by 0.8 or more.
+def _rooted(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, row, root over texts whose sets of 5-word shingles are alike by 0.8 or more.
 
     Fingerprints only find candidates, with a bound that a pair at 0.8 keeps; every link is decided by the sets themselves.
 
@@ -295,21 +295,33 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     ensure_checkpoint_dir(df.sparkSession)
     every = sketches(df, doc_id, text).checkpoint()
-    texts = _with_content(df, doc_id, text)
+    texts = df.select(_row(doc_id, text).alias("row"), F.col(text).alias("text"))
     nodes = every.dropDuplicates(["node"]).checkpoint()
     stars = alike(star_candidates(nodes).checkpoint(), texts, nodes).checkpoint()
     root = components(stars).withColumnRenamed("node", "_node")
     placed = nodes.join(root, F.col("node") == F.col("_node"), "left").select("node", "keys", *PRINTS, F.coalesce("root", "node").alias("root")).checkpoint()
     root = components(stars.unionAll(alike(candidates(placed).checkpoint(), texts, nodes))).withColumnRenamed("node", "_node")
-    rooted = every.join(root, F.col("node") == F.col("_node"), "left").select("doc_id", F.coalesce("root", "node").alias("root")).checkpoint()
+    return every.join(root, F.col("node") == F.col("_node"), "left").select("doc_id", "row", F.coalesce("root", "node").alias("root"))
+
+
+def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, component_id, the smallest id of the texts linked at a similarity of 0.8; null where all of them have none.
+
+    Texts are linked, not ids: rows with equal ids and different texts are apart, and so are those without an id.
+    """
+    rooted = _rooted(df, doc_id, text).checkpoint()
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(ids, "root").select("doc_id", "component_id")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its group; of repeated rows with that id one stays."""
-    kept = similar_groups(df, doc_id, text).select(F.col("component_id").alias("_keep")).distinct()
-    return df.join(kept, F.col(doc_id) == F.col("_keep"), "left_semi").dropDuplicates([doc_id])
+    """Of each group of similar texts the row whose id is the smallest; one without an id only if none has any.
+
+    Texts without a word are one group. Of repeated rows, and of similar texts under that one id, one stays.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = _rooted(df, doc_id, text).groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("_row")).checkpoint()
+    return df.withColumn("_row", _row(doc_id, text)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*df.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,14 @@ def test_groups_of_documents(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in df.collect()}
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == groups_of(texts)
+
+
+def test_null_and_equal_ids_keep_their_texts(spark):
+    pick = random.Random(7)
+    a, b, c, d, e = (" ".join("w%d" % pick.randrange(50000) for _ in range(100)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b + " more"), (1, c), (1, d), (2, d + " more"), (None, e), (3, e + " more"), (4, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(df).collect()]
+    assert len(got) == len(set(got)) == 6
+    assert {(None, a), (1, c), (1, d), (3, e + " more"), (4, None)} < set(got)
+    assert len(set(got) & {(None, b), (None, b + " more")}) == 1
