@@ -80,7 +80,8 @@ class IdReader:
 
     Text in Latin letters takes a shorter way: the file's vocabulary in a rank encoder, which gives the same
     ids, as the file's merges are in the order of its ids and both split by one pattern (tests compare them).
-    Other text goes through ``tokenizers`` itself, as the tables of two Unicode versions may differ.
+    Other text goes through ``tokenizers`` itself, as the tables of two Unicode versions may differ; so does text
+    that quotes an added token, which has that token's id.
     """
 
     def __init__(self, path: str | None = None):
@@ -91,15 +92,14 @@ class IdReader:
 
         path = path or public_tokenizers.path(TOKENIZER)
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         back = {c: b for b, c in _byte_letters().items()}
-        special = set(self.whole.get_added_tokens_decoder())
-        self.largest = max(model["vocab"].values())
-        ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if i not in special}
+        added = self.whole.get_added_tokens_decoder()
+        self.largest = max(*model["vocab"].values(), *added)
+        ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if i not in added}
         self.fast = tiktoken.Encoding("vocab", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.other = re.compile("[^\t-\r\x20-\x7e\xa1-ɏ]")
+        self.other = re.compile("|".join(["[^\t-\r\x20-\x7e\xa1-ɏ]", *(re.escape(token.content) for token in added.values())]))
 
     def __call__(self, text: str) -> np.ndarray:
         return np.frombuffer(array("I", self._ids(text)), np.uint32)
