@@ -28,13 +28,13 @@ SHINGLE = 3
 MAX_BITS = 3
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: For groups of similar texts: words of a shingle, the Jaccard similarity of two sets that links them, the sketch's longs,
-#: how many keys of how many of its bits there are, the longs that travel along, and how many of their bits may differ
-#: in a candidate (at a similarity of 0.8 about 19 do, give or take 4).
-WIDE_WORDS, ALIKE, SKETCH, KEYS, KEY_BITS = 5, 0.8, 8, 48, 16
-PRINTS, WIDE_BITS = ("f0", "f1"), 40
-#: Each key's bits: those of a shuffled sketch one behind the other, and of a second one where the first is used up.
-_PLACES = np.concatenate([np.random.default_rng(42 + i).permutation(64 * SKETCH) for i in range(2)])[: KEYS * KEY_BITS].reshape(KEYS, KEY_BITS)
+#: For groups of similar texts: words of a shingle, the Jaccard similarity of two sets that links them, the longs of a fingerprint, the
+#: bits of a segment, and how many of all bits may differ in a candidate (at a similarity of 0.8 some 39 of 256 do, give or take 6).
+WIDE_WORDS, ALIKE, PRINTS, SEGMENT, WIDE_BITS = 5, 0.8, ("f0", "f1", "f2", "f3"), 16, 68
+TABLES = 64 * len(PRINTS) // SEGMENT
+_LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: What a table's order of the shingles is made with: a number to xor and an odd one to multiply.
+_ORDERS = np.random.default_rng(42).integers(0, 1 << 64, (2, TABLES), np.uint64) | np.array([[0], [1]], np.uint64)
 #: Rows under one key from which its main component is kept from meeting itself.
 HOT_KEY = 256
 #: Hashes whose bits are counted at once.
@@ -153,11 +153,13 @@ def _stars(distinct: DataFrame, max_bits: int) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable from each node of the undirected edges (a, b).
 
-    Alternates large-star and small-star until nothing changes; each costs a grouped minimum and
-    one equi-join. A node with very many neighbours is no hot task: minima are partial first.
+    Alternates large-star and small-star (Kiveris et al., Connected Components in MapReduce and Beyond, 2014) until nothing changes; each
+    costs a grouped minimum, partial first, and an equi-join. The join brings all neighbours of a node to its key: a node with very many is
+    a skewed key, which adaptive execution splits.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct().checkpoint()
+    before = _sum_of(edges)
     for _ in range(rounds):
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -166,15 +168,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionAll(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct().checkpoint()
-        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not changed:
+        now = _sum_of(small)
+        edges, before, settled = small, now, now == before
+        if settled:
             break
     else:
         raise RuntimeError("components didn't settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def _sum_of(edges: DataFrame) -> tuple:
+    """Tells two sets of edges apart: their number and a sum over their hashes, which one pass gives."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links of fingerprints.
 
@@ -194,15 +201,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
 
 def sketch(text: str | None) -> tuple[int, list[int], list[int]]:
-    """What the distinct ``WIDE_WORDS``-word shingles give: a number of the set, ``SKETCH`` fingerprints of 64 bits, and keys.
-
-    A key is ``KEY_BITS`` of the sketch's bits with its number above them; every sketch has ``KEYS`` of them.
-    """
+    """What the distinct ``WIDE_WORDS``-word shingles give: a number of the set, its fingerprint of ``PRINTS`` longs, and an anchor for
+    each of the fingerprint's ``TABLES`` segments: the least shingle in an order of the segment's own."""
     hashes = set_of(text)
-    prints = majority(hashes, SKETCH)
-    bits = np.unpackbits(np.array(prints, "<u8").view(np.uint8), bitorder="little").astype(np.int64)
-    keys = (bits[_PLACES] << np.arange(KEY_BITS)).sum(1) + (np.arange(KEYS) << KEY_BITS)
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), prints, keys.tolist()
+    prints = majority(hashes, len(PRINTS))
+    least = np.full(TABLES, _LAST, np.uint64)
+    for at in range(0, len(hashes), BLOCK):
+        least = np.minimum(least, ((hashes[None, at : at + BLOCK] ^ _ORDERS[0][:, None]) * _ORDERS[1][:, None]).min(1))
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), prints, least.tolist()
+
+
+def segments(prints: list[int]) -> list[int]:
+    """The fingerprint's segments of ``SEGMENT`` bits, as the plan cuts them."""
+    return [print_ >> at & (1 << SEGMENT) - 1 for print_ in prints for at in range(0, 64, SEGMENT)]
 
 
 def set_of(text: str | None) -> np.ndarray:
@@ -212,18 +223,18 @@ def set_of(text: str | None) -> np.ndarray:
 
 
 def sketches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row (the same for repeated rows only), node (the same for equal sets of shingles), the sketch's first longs ``PRINTS`` and keys."""
+    """doc_id, row (the same for repeated rows only), node (the same for equal sets of shingles), the fingerprint ``PRINTS`` and anchors."""
 
     def make():
         def work(columns):
             found = [sketch(value) for value in columns[1]]
             signed = lambda values: [v - (1 << 64) if v >> 63 else v for v in values]
             prints = {c: signed(f[1][i] for f in found) for i, c in enumerate(PRINTS)}
-            return {"doc_id": columns[0], "row": columns[2], "node": signed(f[0] for f in found), "keys": [f[2] for f in found]} | prints
+            return {"doc_id": columns[0], "row": columns[2], "node": signed(f[0] for f in found), "anchors": [signed(f[2]) for f in found]} | prints
 
         return work
 
-    schema = "doc_id long, row long, node long, keys array<int>, " + ", ".join(f"{c} long" for c in PRINTS)
+    schema = "doc_id long, row long, node long, anchors array<long>, " + ", ".join(f"{c} long" for c in PRINTS)
     return map_rows(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), _row(doc_id, text).alias("row")), make, schema)
 
 
@@ -232,40 +243,63 @@ def _row(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id).isNull(), F.col(text).isNull(), F.col(doc_id).cast("long"), F.col(text))
 
 
-def _near(x: str, y: str, max_bits: int) -> Column:
-    return F.expr(" + ".join(f"bit_count({x}{c} ^ {y}{c})" for c in PRINTS) + f" <= {max_bits}")
+def _bits(x: str, y: str) -> str:
+    return " + ".join(f"bit_count({x}{c} ^ {y}{c})" for c in PRINTS)
 
 
-def star_candidates(nodes: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
-    """Pairs (a, b) of a node b and two of its keys' least nodes: the least one and the nearest one."""
-    table = nodes.select("node", *PRINTS, F.explode("keys").alias("key"))
-    leaders = table.groupBy("key").agg(F.min(F.struct("node", *PRINTS)).alias("y"), F.count("*").alias("n")).where("n > 1").select("key", "y")
-    met = table.join(leaders, "key").where("node != y.node").where(_near("", "y.", max_bits))
-    bits = " + ".join(f"bit_count({c} ^ y.{c})" for c in PRINTS)
+def filed(nodes: DataFrame) -> DataFrame:
+    """The tables' rows (table, anchor, segment, node, prints) whose anchor some other node has in the same table.
+
+    What has no anchor in common with anything has no similar text, and most rows haven't: only the rest is looked at further.
+    """
+    per_long = 64 // SEGMENT
+    segment = f"array({', '.join(f'CAST(shiftrightunsigned({c}, {SEGMENT * i}) & {(1 << SEGMENT) - 1} AS INT)' for c in PRINTS for i in range(per_long))})"
+    rows = nodes.select("node", *PRINTS, F.expr(segment).alias("segments"), F.posexplode("anchors").alias("table", "anchor"))
+    rows = rows.select("table", "anchor", F.expr("segments[table]").alias("segment"), "node", *PRINTS)
+    shared = rows.groupBy("table", "anchor").agg(F.count("*").alias("n")).where("n > 1").select("table", "anchor")
+    return rows.join(shared, ["table", "anchor"], "left_semi")
+
+
+def star_candidates(rows: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
+    """Pairs (a, b) of a node b and two of the least nodes under its keys (anchor and segment): the least one and the nearest one."""
+    leaders = rows.groupBy("table", "anchor", "segment").agg(F.min(F.struct("node", *PRINTS)).alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
+    bits = _bits("", "y.")
+    met = rows.join(leaders, ["table", "anchor", "segment"]).where(f"node != y.node AND {bits} <= {max_bits}")
     best = met.groupBy("node").agg(F.min("y.node").alias("least"), F.expr(f"min_by(y.node, {bits})").alias("nearest"))
     return best.select(F.explode(F.array_distinct(F.array("least", "nearest"))).alias("a"), F.col("node").alias("b"))
 
 
 def candidates(placed: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
-    """Pairs (a, b) of nodes (node, root, prints, keys) that share a key, have different roots and ``max_bits`` differing bits at most."""
-    table = placed.select(F.col("root").alias("to"), F.col("node").alias("b"), *(F.col(c).alias(f"y{c}") for c in PRINTS), F.explode("keys").alias("key"))
-    probes = placed.select(F.col("root").alias("from"), F.col("node").alias("a"), *(F.col(c).alias(f"x{c}") for c in PRINTS), F.explode("keys").alias("key"))
-    return across_roots(probes, table, (F.col("a") < F.col("b")) & _near("x", "y", max_bits)).select("a", "b").distinct()
-
-
-def alike(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float = ALIKE) -> DataFrame:
-    """Of the pairs (a, b) of nodes (node, row) those whose sets of shingles are alike by ``least``.
-
-    The sets are made again from the ``texts`` (row, text), and only those of nodes in a pair.
-    """
+    """Pairs (a, b) of nodes with different roots whose segments under a common anchor differ in one bit at most and whose fingerprints in
+    ``max_bits`` at most; ``placed`` has the tables' rows and each node's root."""
+    several = placed.groupBy("table", "anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("table", "anchor")
+    rows = placed.join(several, ["table", "anchor"], "left_semi")
+    key = lambda segment: F.xxhash64("table", "anchor", segment)
+    table = rows.select(F.col("root").alias("to"), F.col("node").alias("b"), *(F.col(c).alias(f"y{c}") for c in PRINTS), key(F.col("segment").cast("long")).alias("key"))
+    probes = rows.select("table", "anchor", F.col("root").alias("from"), F.col("node").alias("a"), *(F.col(c).alias(f"x{c}") for c in PRINTS), F.col("segment").cast("long").alias("own"))
+    probes = _round_balls(probes, SEGMENT).withColumn("key", key(F.col("key"))).drop("table", "anchor")
+    met = across_roots(probes, table, F.expr(f"{_bits('x', 'y')} <= {max_bits}"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, least: float = ALIKE) -> DataFrame:
+    """Of the pairs (a, b) those whose ``texts`` (node, text) have sets of shingles alike by ``least``."""
     asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(asked, "node").select("node", "row")
-    found = texts.join(wanted, "row").select("node", "text").dropDuplicates(["node"])
+    found = texts.join(asked, "node", "left_semi")
     rows = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def make():
+        known: dict[int, np.ndarray] = {}
+
+        def leader(node: int, text: str) -> np.ndarray:
+            if node not in known:
+                if len(known) == 64:
+                    known.clear()
+                known[node] = set_of(text)
+            return known[node]
+
         def work(columns):
-            keep = [i for i, (x, y) in enumerate(zip(columns[2], columns[3], strict=True)) if similarity(set_of(x), set_of(y)) >= least]
+            keep = [i for i, (a, x, y) in enumerate(zip(columns[0], columns[2], columns[3], strict=True)) if similarity(leader(a, x), set_of(y)) >= least]
             return {"a": [columns[0][i] for i in keep], "b": [columns[1][i] for i in keep]}
 
         return work
@@ -282,25 +316,27 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
 def _rooted(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, row, root over texts whose sets of 5-word shingles are alike by 0.8 or more.
 
-    Fingerprints only find candidates, with a bound that a pair at 0.8 keeps; every link is decided by the sets themselves.
-
-    At 0.8 up to 15 % of a fingerprint's bits differ, however the edits lie: sets of sizes m and n with c in common
-    have an angle of acos(c / sqrt(m n)), and 2 J / (1 + J) is the least such cosine. So candidates share one of
-    ``KEYS`` keys of ``KEY_BITS`` bits of 512, at every size of the input. By that estimate 97 % of the pairs at
-    exactly 0.8 share one.
+    Multi-index hashing finds candidates: a fingerprint of 256 bits has 16 segments of 16 bits, each with a table of its own, and balls of
+    radius one are looked up there. At 0.8 some 15 % of the bits differ, so segments must be short, and short ones alone would
+    meet by chance ever more often as the input grows. Hence a table's key is a segment with an *anchor*, a shingle that sets alike by
+    J share with probability J, and sets with nothing in common never: chance meetings need a common passage and 15 of 16 equal bits.
+    By reckoning 98 % of the pairs at exactly 0.8 meet, at any size of the input. Complete distances are verified, and each
+    link is then decided by the two sets themselves.
 
     Equal sets are one node. Each key's members are linked to its least member first, so that a large group is one
-    component before any pairs are made; keys are then met only across components. Thus a group of thousands gives
+    component before any pairs are made; balls are then looked up across components only. Thus a group of thousands gives
     no pairs, and no link between groups is lost.
     """
     ensure_checkpoint_dir(df.sparkSession)
     every = sketches(df, doc_id, text).checkpoint()
-    texts = df.select(_row(doc_id, text).alias("row"), F.col(text).alias("text"))
     nodes = every.dropDuplicates(["node"]).checkpoint()
-    stars = alike(star_candidates(nodes).checkpoint(), texts, nodes).checkpoint()
+    rows = filed(nodes).checkpoint()
+    suspects = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "row")
+    texts = df.select(_row(doc_id, text).alias("row"), F.col(text).alias("text")).join(suspects, "row").select("node", "text").dropDuplicates(["node"]).checkpoint()
+    stars = alike(star_candidates(rows).checkpoint(), texts).checkpoint()
     root = components(stars).withColumnRenamed("node", "_node")
-    placed = nodes.join(root, F.col("node") == F.col("_node"), "left").select("node", "keys", *PRINTS, F.coalesce("root", "node").alias("root")).checkpoint()
-    root = components(stars.unionAll(alike(candidates(placed).checkpoint(), texts, nodes))).withColumnRenamed("node", "_node")
+    placed = rows.join(root, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node").checkpoint()
+    root = components(stars.unionAll(alike(candidates(placed).checkpoint(), texts))).withColumnRenamed("node", "_node")
     return every.join(root, F.col("node") == F.col("_node"), "left").select("doc_id", "row", F.coalesce("root", "node").alias("root"))
 
 

@@ -36,12 +36,18 @@ def edited_pairs(kind, n, size, seed=5):
     return out
 
 
+def meet(x, y):
+    """In some table the anchors are equal and the segments differ in one bit at most, and all bits in no more than the bound."""
+    near = any(a == b and (i ^ j).bit_count() <= 1 for a, b, i, j in zip(x[2], y[2], simhash.segments(x[1]), simhash.segments(y[1]), strict=True))
+    return near and sum((i ^ j).bit_count() for i, j in zip(x[1], y[1], strict=True)) <= simhash.WIDE_BITS
+
+
 @pytest.mark.parametrize("kind", ["scattered", "passage"])
 def test_keys_find_pairs_at_the_threshold(kind):
     """The keys are the same at any size of the input, so the share of pairs that meet is too."""
     pairs = edited_pairs(kind, 300, 450)
-    met = sum(bool(set(simhash.sketch(a)[2]) & set(simhash.sketch(b)[2])) for a, b in pairs)
-    assert met >= 0.94 * len(pairs)
+    met = sum(meet(simhash.sketch(a), simhash.sketch(b)) for a, b in pairs)
+    assert met >= 0.96 * len(pairs)
 
 
 def groups_of(texts, least=0.8):
