@@ -29,12 +29,17 @@ MAX_BITS = 3
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: For groups of similar texts: words of a shingle, the Jaccard similarity of two sets that links them, the longs of a fingerprint, the
-#: bits of a segment, and how many of all bits may differ in a candidate (at a similarity of 0.8 some 39 of 256 do, give or take 6).
-WIDE_WORDS, ALIKE, PRINTS, SEGMENT, WIDE_BITS = 5, 0.8, ("f0", "f1", "f2", "f3"), 16, 68
-TABLES = 64 * len(PRINTS) // SEGMENT
+#: bits of a segment, and the longs of the marks, a byte of each of several anchors.
+WIDE_WORDS, ALIKE, PRINTS, SEGMENT, MARKS = 5, 0.8, ("f0", "f1", "f2", "f3"), 16, tuple(f"g{i}" for i in range(8))
+TABLES, ANCHORS = 64 * len(PRINTS) // SEGMENT, 8 * len(MARKS)
+#: Bits of the fingerprints that differ and twice the marks that do, at most, in a candidate: at a similarity of 0.8
+#: 64 are expected, give or take 9.
+FAR = 88
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: What a table's order of the shingles is made with: a number to xor and an odd one to multiply.
-_ORDERS = np.random.default_rng(42).integers(0, 1 << 64, (2, TABLES), np.uint64) | np.array([[0], [1]], np.uint64)
+#: What an anchor's order of the shingles is made with: a number to xor and an odd one to multiply.
+_ORDERS = np.random.default_rng(42).integers(0, 1 << 64, (2, ANCHORS), np.uint64) | np.array([[0], [1]], np.uint64)
+#: Where the numbers of so many shingles are made: memory that isn't asked for again and again.
+_ROOM = np.empty((ANCHORS, 512), np.uint64)
 #: Rows under one key from which its main component is kept from meeting itself.
 HOT_KEY = 256
 #: Hashes whose bits are counted at once.
@@ -200,15 +205,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     return prints.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-def sketch(text: str | None) -> tuple[int, list[int], list[int]]:
-    """What the distinct ``WIDE_WORDS``-word shingles give: a number of the set, its fingerprint of ``PRINTS`` longs, and an anchor for
-    each of the fingerprint's ``TABLES`` segments: the least shingle in an order of the segment's own."""
+def sketch(text: str | None) -> tuple[int, list[int], np.ndarray]:
+    """What the distinct ``WIDE_WORDS``-word shingles give: a number of the set, its fingerprint of ``PRINTS`` longs, and ``ANCHORS``
+    anchors, each the least shingle in an order of its own. The first ones belong to the fingerprint's segments."""
     hashes = set_of(text)
     prints = majority(hashes, len(PRINTS))
-    least = np.full(TABLES, _LAST, np.uint64)
-    for at in range(0, len(hashes), BLOCK):
-        least = np.minimum(least, ((hashes[None, at : at + BLOCK] ^ _ORDERS[0][:, None]) * _ORDERS[1][:, None]).min(1))
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), prints, least.tolist()
+    least = np.full(ANCHORS, _LAST, np.uint64)
+    for at in range(0, len(hashes), _ROOM.shape[1]):
+        part = hashes[at : at + _ROOM.shape[1]]
+        room = _ROOM[:, : len(part)]
+        np.bitwise_xor(part, _ORDERS[0][:, None], out=room)
+        np.multiply(room, _ORDERS[1][:, None], out=room)
+        np.minimum(least, room.min(1), out=least)
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), prints, least
 
 
 def segments(prints: list[int]) -> list[int]:
@@ -223,18 +232,20 @@ def set_of(text: str | None) -> np.ndarray:
 
 
 def sketches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row (the same for repeated rows only), node (the same for equal sets of shingles), the fingerprint ``PRINTS`` and anchors."""
+    """doc_id, row (the same for repeated rows only), node (the same for equal sets of shingles), ``PRINTS``, ``MARKS`` and the tables' anchors."""
 
     def make():
         def work(columns):
             found = [sketch(value) for value in columns[1]]
             signed = lambda values: [v - (1 << 64) if v >> 63 else v for v in values]
             prints = {c: signed(f[1][i] for f in found) for i, c in enumerate(PRINTS)}
-            return {"doc_id": columns[0], "row": columns[2], "node": signed(f[0] for f in found), "anchors": [signed(f[2]) for f in found]} | prints
+            least = np.array([f[2] for f in found])
+            marks = np.ascontiguousarray(least.astype(np.uint8)).view("<i8")
+            return {"doc_id": columns[0], "row": columns[2], "node": signed(f[0] for f in found), "anchors": least[:, :TABLES].view(np.int64).tolist()} | prints | {c: marks[:, i] for i, c in enumerate(MARKS)}
 
         return work
 
-    schema = "doc_id long, row long, node long, anchors array<long>, " + ", ".join(f"{c} long" for c in PRINTS)
+    schema = "doc_id long, row long, node long, anchors array<long>, " + ", ".join(f"{c} long" for c in (*PRINTS, *MARKS))
     return map_rows(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), _row(doc_id, text).alias("row")), make, schema)
 
 
@@ -243,42 +254,57 @@ def _row(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id).isNull(), F.col(text).isNull(), F.col(doc_id).cast("long"), F.col(text))
 
 
-def _bits(x: str, y: str) -> str:
-    return " + ".join(f"bit_count({x}{c} ^ {y}{c})" for c in PRINTS)
+def _far(x: str, y: str) -> str:
+    """The distance of two sketches: bits of the fingerprints that differ, and twice the marks that do."""
+    bits = [f"bit_count({x}{c} ^ {y}{c})" for c in PRINTS]
+    any_bit = " | ".join(f"shiftrightunsigned({{0}}, {i})" if i else "{0}" for i in range(8))
+    marks = [f"bit_count(({any_bit.format(f'({x}{c} ^ {y}{c})')}) & {0x0101010101010101}L)" for c in MARKS]
+    return f"{' + '.join(bits)} + 2 * ({' + '.join(marks)})"
+
+
+def _met_before(x: str, y: str) -> str:
+    """Whether two sketches share a key in a table before ``table``, by their marks: a pair is taken where it meets first."""
+    earlier = []
+    for i in range(TABLES - 1):
+        mark, segment = MARKS[i // 8], PRINTS[i * SEGMENT // 64]
+        same = f"(shiftrightunsigned({x}{mark} ^ {y}{mark}, {i % 8 * 8}) & 255L) = 0"
+        near = f"bit_count(shiftrightunsigned({x}{segment} ^ {y}{segment}, {i * SEGMENT % 64}) & {(1 << SEGMENT) - 1}L) <= 1"
+        earlier.append(f"(table > {i} AND {same} AND {near})")
+    return " OR ".join(earlier)
 
 
 def filed(nodes: DataFrame) -> DataFrame:
-    """The tables' rows (table, anchor, segment, node, prints) whose anchor some other node has in the same table.
+    """The tables' rows (table, anchor, segment, node, sketch) whose anchor some other node has in the same table.
 
     What has no anchor in common with anything has no similar text, and most rows haven't: only the rest is looked at further.
     """
     per_long = 64 // SEGMENT
     segment = f"array({', '.join(f'CAST(shiftrightunsigned({c}, {SEGMENT * i}) & {(1 << SEGMENT) - 1} AS INT)' for c in PRINTS for i in range(per_long))})"
-    rows = nodes.select("node", *PRINTS, F.expr(segment).alias("segments"), F.posexplode("anchors").alias("table", "anchor"))
-    rows = rows.select("table", "anchor", F.expr("segments[table]").alias("segment"), "node", *PRINTS)
-    shared = rows.groupBy("table", "anchor").agg(F.count("*").alias("n")).where("n > 1").select("table", "anchor")
-    return rows.join(shared, ["table", "anchor"], "left_semi")
+    keys = nodes.select("node", F.posexplode("anchors").alias("table", "anchor"))
+    shared = keys.groupBy("table", "anchor").agg(F.count("*").alias("n")).where("n > 1").select("table", "anchor")
+    keys = keys.join(shared, ["table", "anchor"], "left_semi")
+    return keys.join(nodes.select("node", *PRINTS, *MARKS), "node").withColumn("segment", F.expr(f"{segment}[table]"))
 
 
-def star_candidates(rows: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
+def star_candidates(rows: DataFrame, far: int = FAR) -> DataFrame:
     """Pairs (a, b) of a node b and two of the least nodes under its keys (anchor and segment): the least one and the nearest one."""
-    leaders = rows.groupBy("table", "anchor", "segment").agg(F.min(F.struct("node", *PRINTS)).alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
-    bits = _bits("", "y.")
-    met = rows.join(leaders, ["table", "anchor", "segment"]).where(f"node != y.node AND {bits} <= {max_bits}")
-    best = met.groupBy("node").agg(F.min("y.node").alias("least"), F.expr(f"min_by(y.node, {bits})").alias("nearest"))
+    leaders = rows.groupBy("table", "anchor", "segment").agg(F.min(F.struct("node", *PRINTS, *MARKS)).alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = rows.join(leaders, ["table", "anchor", "segment"]).where(f"node != y.node AND {_far('', 'y.')} <= {far}")
+    best = met.groupBy("node").agg(F.min("y.node").alias("least"), F.expr(f"min_by(y.node, {_far('', 'y.')})").alias("nearest"))
     return best.select(F.explode(F.array_distinct(F.array("least", "nearest"))).alias("a"), F.col("node").alias("b"))
 
 
-def candidates(placed: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
-    """Pairs (a, b) of nodes with different roots whose segments under a common anchor differ in one bit at most and whose fingerprints in
-    ``max_bits`` at most; ``placed`` has the tables' rows and each node's root."""
+def candidates(placed: DataFrame, far: int = FAR) -> DataFrame:
+    """Pairs (a, b) of nodes with different roots whose segments under a common anchor differ in one bit at most and whose sketches in
+    ``far`` at most; ``placed`` has the tables' rows and each node's root."""
     several = placed.groupBy("table", "anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("table", "anchor")
     rows = placed.join(several, ["table", "anchor"], "left_semi")
     key = lambda segment: F.xxhash64("table", "anchor", segment)
-    table = rows.select(F.col("root").alias("to"), F.col("node").alias("b"), *(F.col(c).alias(f"y{c}") for c in PRINTS), key(F.col("segment").cast("long")).alias("key"))
-    probes = rows.select("table", "anchor", F.col("root").alias("from"), F.col("node").alias("a"), *(F.col(c).alias(f"x{c}") for c in PRINTS), F.col("segment").cast("long").alias("own"))
-    probes = _round_balls(probes, SEGMENT).withColumn("key", key(F.col("key"))).drop("table", "anchor")
-    met = across_roots(probes, table, F.expr(f"{_bits('x', 'y')} <= {max_bits}"))
+    renamed = lambda letter: [F.col(c).alias(f"{letter}{c}") for c in (*PRINTS, *MARKS)]
+    table = rows.select(F.col("root").alias("to"), F.col("node").alias("b"), *renamed("y"), key(F.col("segment").cast("long")).alias("key"))
+    probes = rows.select("table", "anchor", F.col("root").alias("from"), F.col("node").alias("a"), *renamed("x"), F.col("segment").cast("long").alias("own"))
+    probes = _round_balls(probes, SEGMENT).withColumn("key", key(F.col("key"))).drop("anchor")
+    met = across_roots(probes, table, F.expr(f"{_far('x', 'y')} <= {far} AND NOT ({_met_before('x', 'y')})"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -320,8 +346,8 @@ def _rooted(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     radius one are looked up there. At 0.8 some 15 % of the bits differ, so segments must be short, and short ones alone would
     meet by chance ever more often as the input grows. Hence a table's key is a segment with an *anchor*, a shingle that sets alike by
     J share with probability J, and sets with nothing in common never: chance meetings need a common passage and 15 of 16 equal bits.
-    By reckoning 98 % of the pairs at exactly 0.8 meet, at any size of the input. Complete distances are verified, and each
-    link is then decided by the two sets themselves.
+    By reckoning 98 % of the pairs at exactly 0.8 meet, at any size of the input. Complete distances are verified, over the
+    fingerprints and the marks of 64 anchors, and each link is then decided by the two sets themselves.
 
     Equal sets are one node. Each key's members are linked to its least member first, so that a large group is one
     component before any pairs are made; balls are then looked up across components only. Thus a group of thousands gives
