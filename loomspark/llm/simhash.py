@@ -29,17 +29,19 @@ MAX_BITS = 3
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: For groups of similar texts: words of a shingle, the Jaccard similarity of two sets that links them, the longs of a fingerprint, the
-#: bits of a segment, and the longs of the marks, a byte of each of several anchors.
-WIDE_WORDS, ALIKE, PRINTS, SEGMENT, MARKS = 5, 0.8, ("f0", "f1", "f2", "f3"), 16, tuple(f"g{i}" for i in range(8))
-TABLES, ANCHORS = 64 * len(PRINTS) // SEGMENT, 8 * len(MARKS)
+#: bits of a segment, and the longs of the marks: a byte of each table's anchor, half a byte of each of 112 further ones.
+WIDE_WORDS, ALIKE, PRINTS, SEGMENT, BYTES, HALVES = 5, 0.8, ("f0", "f1", "f2", "f3"), 16, ("g0", "g1"), tuple(f"h{i}" for i in range(7))
+SKETCH = (*PRINTS, *BYTES, *HALVES)
+TABLES = 64 * len(PRINTS) // SEGMENT
+ANCHORS = TABLES + 16 * len(HALVES)
 #: Bits of the fingerprints that differ and twice the marks that do, at most, in a candidate: at a similarity of 0.8
-#: 64 are expected, give or take 9.
-FAR = 88
+#: 87 are expected, give or take 11.
+FAR = 112
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: What an anchor's order of the shingles is made with: a number to xor and an odd one to multiply.
 _ORDERS = np.random.default_rng(42).integers(0, 1 << 64, (2, ANCHORS), np.uint64) | np.array([[0], [1]], np.uint64)
 #: Where the numbers of so many shingles are made: memory that isn't asked for again and again.
-_ROOM = np.empty((ANCHORS, 512), np.uint64)
+_ROOM = np.empty((ANCHORS, 256), np.uint64)
 #: Rows under one key from which its main component is kept from meeting itself.
 HOT_KEY = 256
 #: Hashes whose bits are counted at once.
@@ -231,21 +233,29 @@ def set_of(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(words, WIDE_WORDS)) if words else np.empty(0, "<u8")
 
 
+def marks(least: np.ndarray) -> np.ndarray:
+    """The longs ``BYTES`` and ``HALVES`` of sketches' anchors."""
+    low = least.astype(np.uint8)
+    halves = (low[:, TABLES::2] & 15) | (low[:, TABLES + 1 :: 2] << 4)
+    return np.ascontiguousarray(np.hstack([low[:, :TABLES], halves])).view("<i8")
+
+
 def sketches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row (the same for repeated rows only), node (the same for equal sets of shingles), ``PRINTS``, ``MARKS`` and the tables' anchors."""
+    """doc_id, row (the same for repeated rows only), node (the same for equal sets of shingles), ``SKETCH`` and the tables' anchors."""
 
     def make():
         def work(columns):
             found = [sketch(value) for value in columns[1]]
             signed = lambda values: [v - (1 << 64) if v >> 63 else v for v in values]
             prints = {c: signed(f[1][i] for f in found) for i, c in enumerate(PRINTS)}
-            least = np.array([f[2] for f in found])
-            marks = np.ascontiguousarray(least.astype(np.uint8)).view("<i8")
-            return {"doc_id": columns[0], "row": columns[2], "node": signed(f[0] for f in found), "anchors": least[:, :TABLES].view(np.int64).tolist()} | prints | {c: marks[:, i] for i, c in enumerate(MARKS)}
+            least = np.array([f[2] for f in found]).reshape(-1, ANCHORS)
+            marked = {c: x for c, x in zip(BYTES + HALVES, marks(least).T, strict=True)}
+            anchors = np.ascontiguousarray(least[:, :TABLES]).view(np.int64).tolist()
+            return {"doc_id": columns[0], "row": columns[2], "node": signed(f[0] for f in found), "anchors": anchors} | prints | marked
 
         return work
 
-    schema = "doc_id long, row long, node long, anchors array<long>, " + ", ".join(f"{c} long" for c in (*PRINTS, *MARKS))
+    schema = "doc_id long, row long, node long, anchors array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
     return map_rows(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), _row(doc_id, text).alias("row")), make, schema)
 
 
@@ -257,16 +267,18 @@ def _row(doc_id: str, text: str) -> Column:
 def _far(x: str, y: str) -> str:
     """The distance of two sketches: bits of the fingerprints that differ, and twice the marks that do."""
     bits = [f"bit_count({x}{c} ^ {y}{c})" for c in PRINTS]
-    any_bit = " | ".join(f"shiftrightunsigned({{0}}, {i})" if i else "{0}" for i in range(8))
-    marks = [f"bit_count(({any_bit.format(f'({x}{c} ^ {y}{c})')}) & {0x0101010101010101}L)" for c in MARKS]
-    return f"{' + '.join(bits)} + 2 * ({' + '.join(marks)})"
+    differ = []
+    for names, width, lowest in ((BYTES, 8, 0x0101010101010101), (HALVES, 4, 0x1111111111111111)):
+        any_bit = " | ".join(f"shiftrightunsigned({{0}}, {i})" if i else "{0}" for i in range(width))
+        differ += [f"bit_count(({any_bit.format(f'({x}{c} ^ {y}{c})')}) & {lowest}L)" for c in names]
+    return f"{' + '.join(bits)} + 2 * ({' + '.join(differ)})"
 
 
 def _met_before(x: str, y: str) -> str:
     """Whether two sketches share a key in a table before ``table``, by their marks: a pair is taken where it meets first."""
     earlier = []
     for i in range(TABLES - 1):
-        mark, segment = MARKS[i // 8], PRINTS[i * SEGMENT // 64]
+        mark, segment = BYTES[i // 8], PRINTS[i * SEGMENT // 64]
         same = f"(shiftrightunsigned({x}{mark} ^ {y}{mark}, {i % 8 * 8}) & 255L) = 0"
         near = f"bit_count(shiftrightunsigned({x}{segment} ^ {y}{segment}, {i * SEGMENT % 64}) & {(1 << SEGMENT) - 1}L) <= 1"
         earlier.append(f"(table > {i} AND {same} AND {near})")
@@ -274,24 +286,29 @@ def _met_before(x: str, y: str) -> str:
 
 
 def filed(nodes: DataFrame) -> DataFrame:
-    """The tables' rows (table, anchor, segment, node, sketch) whose anchor some other node has in the same table.
+    """The tables' rows (table, anchor, segment, node, sketch) whose anchor some other node has in the same table, and the node's weight.
 
     What has no anchor in common with anything has no similar text, and most rows haven't: only the rest is looked at further.
+    The weight is how many rows share a node's anchors in all: of a group of edited copies the least edited one has the most.
     """
     per_long = 64 // SEGMENT
     segment = f"array({', '.join(f'CAST(shiftrightunsigned({c}, {SEGMENT * i}) & {(1 << SEGMENT) - 1} AS INT)' for c in PRINTS for i in range(per_long))})"
     keys = nodes.select("node", F.posexplode("anchors").alias("table", "anchor"))
-    shared = keys.groupBy("table", "anchor").agg(F.count("*").alias("n")).where("n > 1").select("table", "anchor")
-    keys = keys.join(shared, ["table", "anchor"], "left_semi")
-    return keys.join(nodes.select("node", *PRINTS, *MARKS), "node").withColumn("segment", F.expr(f"{segment}[table]"))
+    shared = keys.groupBy("table", "anchor").agg(F.count("*").alias("n")).where("n > 1")
+    keys = keys.join(shared, ["table", "anchor"])
+    weighed = keys.groupBy("node").agg(F.sum("n").alias("weight"), F.collect_list(F.struct("table", "anchor")).alias("at")).join(nodes.select("node", *SKETCH), "node")
+    return weighed.select("node", "weight", *SKETCH, F.inline("at")).withColumn("segment", F.expr(f"{segment}[table]"))
 
 
 def star_candidates(rows: DataFrame, far: int = FAR) -> DataFrame:
-    """Pairs (a, b) of a node b and two of the least nodes under its keys (anchor and segment): the least one and the nearest one."""
-    leaders = rows.groupBy("table", "anchor", "segment").agg(F.min(F.struct("node", *PRINTS, *MARKS)).alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
+    """Pairs (a, b) of a node b and two of the leaders, the nodes of most weight under its keys (anchor and segment): the heaviest and the nearest one.
+
+    A text that is alike to any of a group is so to its heaviest members as a rule, so one link joins it to the group.
+    """
+    leaders = rows.groupBy("table", "anchor", "segment").agg(F.max(F.struct("weight", "node", *SKETCH)).alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = rows.join(leaders, ["table", "anchor", "segment"]).where(f"node != y.node AND {_far('', 'y.')} <= {far}")
-    best = met.groupBy("node").agg(F.min("y.node").alias("least"), F.expr(f"min_by(y.node, {_far('', 'y.')})").alias("nearest"))
-    return best.select(F.explode(F.array_distinct(F.array("least", "nearest"))).alias("a"), F.col("node").alias("b"))
+    best = met.groupBy("node").agg(F.max(F.struct("y.weight", "y.node")).alias("heaviest"), F.expr(f"min_by(y.node, {_far('', 'y.')})").alias("nearest"))
+    return best.select(F.explode(F.array_distinct(F.array("heaviest.node", "nearest"))).alias("a"), F.col("node").alias("b"))
 
 
 def candidates(placed: DataFrame, far: int = FAR) -> DataFrame:
@@ -300,7 +317,7 @@ def candidates(placed: DataFrame, far: int = FAR) -> DataFrame:
     several = placed.groupBy("table", "anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("table", "anchor")
     rows = placed.join(several, ["table", "anchor"], "left_semi")
     key = lambda segment: F.xxhash64("table", "anchor", segment)
-    renamed = lambda letter: [F.col(c).alias(f"{letter}{c}") for c in (*PRINTS, *MARKS)]
+    renamed = lambda letter: [F.col(c).alias(f"{letter}{c}") for c in SKETCH]
     table = rows.select(F.col("root").alias("to"), F.col("node").alias("b"), *renamed("y"), key(F.col("segment").cast("long")).alias("key"))
     probes = rows.select("table", "anchor", F.col("root").alias("from"), F.col("node").alias("a"), *renamed("x"), F.col("segment").cast("long").alias("own"))
     probes = _round_balls(probes, SEGMENT).withColumn("key", key(F.col("key"))).drop("anchor")
@@ -347,9 +364,9 @@ def _rooted(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     meet by chance ever more often as the input grows. Hence a table's key is a segment with an *anchor*, a shingle that sets alike by
     J share with probability J, and sets with nothing in common never: chance meetings need a common passage and 15 of 16 equal bits.
     By reckoning 98 % of the pairs at exactly 0.8 meet, at any size of the input. Complete distances are verified, over the
-    fingerprints and the marks of 64 anchors, and each link is then decided by the two sets themselves.
+    fingerprints and the marks of 128 anchors, and each link is then decided by the two sets themselves.
 
-    Equal sets are one node. Each key's members are linked to its least member first, so that a large group is one
+    Equal sets are one node. Each key's members are linked to its heaviest member first, so that a large group is one
     component before any pairs are made; balls are then looked up across components only. Thus a group of thousands gives
     no pairs, and no link between groups is lost.
     """

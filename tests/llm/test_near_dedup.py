@@ -39,7 +39,7 @@ def edited_pairs(kind, n, size, seed=5):
 def meet(x, y):
     """In some table the anchors are equal and the segments differ in one bit at most, and the sketches in no more than the bound."""
     near = any(a == b and (i ^ j).bit_count() <= 1 for a, b, i, j in zip(x[2], y[2], simhash.segments(x[1]), simhash.segments(y[1]), strict=False))
-    marks = sum(int(a) % 256 != int(b) % 256 for a, b in zip(x[2], y[2], strict=True))
+    marks = sum(int(a) % (256 if i < simhash.TABLES else 16) != int(b) % (256 if i < simhash.TABLES else 16) for i, (a, b) in enumerate(zip(x[2], y[2], strict=True)))
     return near and sum((i ^ j).bit_count() for i, j in zip(x[1], y[1], strict=True)) + 2 * marks <= simhash.FAR
 
 
