@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -29,9 +30,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names in ``spark.checkpoint.dir``; sets one only where none is named (tests)."""
+    """Uses the folder the cluster names in ``spark.checkpoint.dir``. Where none is named, a local session (tests) gets one of its
+    own; on a cluster that is an error, as executors wouldn't see it."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomspark-"))
 
 
@@ -44,6 +48,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_dir(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that ``shared_dir`` gave, once nothing reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[list[list]], dict[str, list]]],

@@ -1,13 +1,14 @@
-"""Lossless WebP: a decoder of the whole VP8L format and an encoder for media columns.
+"""Lossless WebP: a decoder of the whole VP8L format, and media columns that are stored in it.
 
 The decoder reads prefix codes, back-references and the colour cache, groups of codes chosen by an
 entropy image, and inverts the predictor, cross-colour, subtract-green and palette
 transforms; its result is an array of pixels (height, width, 4) in the order alpha, red, green, blue.
-Streams whose codes all have eight bits, without cache, groups or references, are read by
-array operations; the encoder writes such streams, so that a column of raw samples costs no loop.
 
-A null text is stored as an empty one: 64 zero bytes. Texts of any length are stored whole; beyond
-``ROW * MAX_SIDE`` bytes rows get wider, and zeros after the payload fill the last one.
+Prefix codes are read by array operations where an image has one group and no cache: at every bit the token that would begin
+there and the place behind it are looked up, and what is left to do one by one is to walk from place to place.
+
+A null text is stored as an empty one: 64 zero bytes. A byte is a grey pixel, so a text goes through a palette; in texts beyond
+``MAX_GREY`` bytes four bytes are one pixel. Zeros after the payload fill the last row.
 """
 
 from __future__ import annotations
@@ -37,7 +38,13 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 #: Neighbours that short distance codes stand for: above or to the left, by Euclidean distance, then by |dx|, right first.
 NEIGHBOURS = sorted(((dx, dy) for dy in range(8) for dx in range(-7, 9) if dy or dx > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
-_REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
+#: Widths of grey images double up to this one; the widest images hold four bytes a pixel.
+WIDEST_GREY = MAX_SIDE // 2
+MAX_GREY = WIDEST_GREY * MAX_SIDE
+#: Bits whose tokens are looked up at once, and the bits behind them that these may reach into.
+WINDOW, REACH = 1 << 18, 256
+#: Images up to this many pixels are read one by one, which costs less.
+FEW_PIXELS = 400
 
 
 class Bits:
@@ -59,33 +66,56 @@ class Bits:
         return (int.from_bytes(self.data[first : first + 4], "little") >> (self.at & 7)) & ((1 << n) - 1)
 
 
+#: Longest prefix code, and all numbers of so many bits with their bits reversed.
+LONGEST_CODE = 15
+_REVERSED = np.zeros(1 << LONGEST_CODE, np.uint32)
+for _i in range(LONGEST_CODE):
+    _REVERSED |= (np.arange(1 << LONGEST_CODE, dtype=np.uint32) >> np.uint32(_i) & np.uint32(1)) << np.uint32(LONGEST_CODE - 1 - _i)
+
+
+def canonical(lengths: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols in use, and each one's code with its bits in the order in which they are written."""
+    sizes = np.asarray(lengths, np.int64)
+    used = np.flatnonzero(sizes)
+    used = used[np.argsort(sizes[used], kind="stable")]
+    shares = 1 << (LONGEST_CODE - sizes[used])
+    return used, _REVERSED[(np.cumsum(shares) - shares) & ((1 << LONGEST_CODE) - 1)]
+
+
 class Prefix:
     """A canonical prefix code as a table over the next bits."""
 
     def __init__(self, lengths: Sequence[int]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
+        sizes = np.asarray(lengths, np.int64)
+        used, starts = canonical(lengths)
         self.lengths = lengths
-        self.single = used[0][1] if len(used) == 1 else None
-        self.flat8 = len(used) == 256 and all(n == 8 and s < 256 for n, s in used)
+        self.single = int(used[0]) if len(used) == 1 else None
+        self.table: list[tuple[int, int]] | None = None
         if self.single is not None:
+            self.width, self.symbols, self.sizes = 0, used.astype(np.int32), np.zeros(1, np.int32)
             return
-        if not used or sum(1 << (15 - n) for n, _ in used) != 1 << 15:
+        if not len(used) or int((1 << (LONGEST_CODE - sizes[used])).sum()) != 1 << LONGEST_CODE:
             raise ValueError("a prefix code isn't complete")
-        self.width = max(n for n, _ in used)
-        self.table: list[tuple[int, int]] = [(0, 0)] * (1 << self.width)
-        code, before = 0, 0
-        for n, symbol in sorted(used):
-            code <<= n - before
-            before = n
-            low = int(f"{code:0{n}b}"[::-1], 2)
-            for i in range(low, 1 << self.width, 1 << n):
-                self.table[i] = (symbol, n)
-            code += 1
+        self.width = int(sizes[used[-1]])
+        # codes in order fill the numbers from 0 on, the first bit being the highest
+        rows = np.repeat(np.arange(len(used)), 1 << (self.width - sizes[used]))
+        rows = rows[_REVERSED[: 1 << self.width] >> np.uint32(LONGEST_CODE - self.width)]
+        self.symbols, self.sizes = used.astype(np.int32)[rows], sizes[used].astype(np.int32)[rows]
+
+    def at(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that begin with the bits of each word, and their lengths."""
+        rows = words & np.uint32((1 << self.width) - 1)
+        return self.symbols[rows], self.sizes[rows]
+
+    def pairs(self) -> list[tuple[int, int]]:
+        if self.table is None:
+            self.table = list(zip(self.symbols.tolist(), self.sizes.tolist(), strict=True))
+        return self.table
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
-        symbol, n = self.table[bits.peek(self.width)]
+        symbol, n = (self.table or self.pairs())[bits.peek(self.width)]
         bits.at += n
         return symbol
 
@@ -114,20 +144,26 @@ def _read_code(bits: Bits, size: int) -> Prefix:
         at = min(left, size)
         lengths[:at] = [code.single] * at
         left = 0
+    table, mask, data, place = code.pairs(), (1 << code.width) - 1, bits.data, bits.at
     while at < size and left:
         left -= 1
-        symbol = code.read(bits)
+        word = int.from_bytes(data[place >> 3 : (place >> 3) + 4], "little") >> (place & 7)
+        symbol, n = table[word & mask]
+        place += n
         if symbol < 16:
             lengths[at] = symbol
             last = symbol or last
             at += 1
             continue
-        value, times = {16: (last, lambda: 3 + bits.read(2)), 17: (0, lambda: 3 + bits.read(3)), 18: (0, lambda: 11 + bits.read(7))}[symbol]
-        for _ in range(times()):
-            if at >= size:
-                raise ValueError("a run of code lengths is too long")
-            lengths[at] = value
-            at += 1
+        extra, least = ((2, 3), (3, 3), (7, 11))[symbol - 16]
+        times = least + (word >> n & ((1 << extra) - 1))
+        place += extra
+        if at + times > size:
+            raise ValueError("a run of code lengths is too long")
+        if symbol == 16:
+            lengths[at : at + times] = [last] * times
+        at += times
+    bits.at = place
     return prefix_code(tuple(lengths))
 
 
@@ -154,8 +190,8 @@ def _read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.n
         n_groups = max(groups_of) + 1
     groups = [[_read_code(bits, n + (1 << cache_bits if cache_bits and not k else 0)) for k, n in enumerate(ALPHABETS)] for _ in range(n_groups)]
     total = width * height
-    if n_groups == 1 and not cache_bits and all(c.flat8 for c in groups[0][:4]):
-        return _read_flat(bits, total)
+    if n_groups == 1 and not cache_bits and groups[0][0].single is None and total > FEW_PIXELS:
+        return _read_tokens(bits, groups[0], width, total)
     pixels = [0] * total
     cache = [0] * (1 << cache_bits if cache_bits else 0)
     shift = 32 - cache_bits
@@ -172,12 +208,7 @@ def _read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.n
             at += 1
         elif green < 280:
             length = _extended(bits, green - 256)
-            code = _extended(bits, group[4].read(bits))
-            if code > len(NEIGHBOURS):
-                distance = code - len(NEIGHBOURS)
-            else:
-                dx, dy = NEIGHBOURS[code - 1]
-                distance = max(1, dx + dy * width)
+            distance = _distance(_extended(bits, group[4].read(bits)), width)
             if distance > at or at + length > total:
                 raise ValueError("a reference leaves the image")
             for i in range(at, at + length):
@@ -194,17 +225,99 @@ def _read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.n
     return np.array(pixels, np.uint32)
 
 
-def _read_flat(bits: Bits, total: int) -> np.ndarray:
-    """Four bytes a pixel, green, red, blue, alpha, each with its bits reversed."""
-    first, offset = bits.at >> 3, bits.at & 7
-    data = np.frombuffer(bits.data, np.uint8, min(4 * total + 1, len(bits.data) - first), first)
-    if 8 * len(data) - offset < 32 * total:
-        raise ValueError("the stream ends early")
-    if offset:
-        data = (data[: 4 * total] >> offset) | (data[1 : 4 * total + 1] << (8 - offset) if len(data) > 4 * total else np.append(data[1:], np.uint8(0)) << (8 - offset))
-    bits.at += 32 * total
-    parts = _REVERSED[data[: 4 * total]].reshape(-1, 4)
-    return (parts[:, 3].astype(np.uint32) << 24) | (parts[:, 1].astype(np.uint32) << 16) | (parts[:, 0].astype(np.uint32) << 8) | parts[:, 2]
+def _extra(symbols: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of lengths or distances by their symbols and the bits behind, and how many bits these are."""
+    extra = np.maximum(0, (symbols - 2) >> 1)
+    values = ((2 + (symbols & 1)) << extra) + (words & ((np.uint32(1) << extra.astype(np.uint32)) - np.uint32(1))).astype(np.int64) + 1
+    return np.where(symbols < 4, symbols + 1, values), extra
+
+
+def _read_tokens(bits: Bits, group: list[Prefix], width: int, total: int) -> np.ndarray:
+    """An image of one group of codes without a cache; the first code has several symbols, so each token has a bit."""
+    end = 8 * len(bits.data)
+    pixels = np.zeros(total, np.uint32)
+    plain = all(c.single is not None for c in group[1:4])
+    ground = np.uint32(group[3].single << 24 | group[1].single << 16 | group[2].single) if plain else np.uint32(0)
+    at = 0
+    while at < total:
+        first = bits.at >> 3
+        n = min(WINDOW, end - bits.at)
+        if n <= 0:
+            raise ValueError("the stream ends early")
+        raw = np.zeros((n + REACH) // 8 + 8, np.uint8)
+        part = np.frombuffer(bits.data, np.uint8, min(len(raw), len(bits.data) - first), first)
+        raw[: len(part)] = part
+        words = np.ndarray(len(raw) - 4, "<u4", raw.data, strides=(1,))
+        words = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()[bits.at & 7 :]
+        here = np.arange(n, dtype=np.int32)
+        symbols, sizes = group[0].at(words[:n])
+        behind = here + sizes
+        if not plain:
+            red, size = group[1].at(words[behind])
+            blue, more = group[2].at(words[behind + size])
+            alpha, last = group[3].at(words[behind + size + more])
+            colours = alpha.astype(np.uint32) << 24 | red.astype(np.uint32) << 16 | symbols.astype(np.uint32) << 8 | blue.astype(np.uint32)
+            behind = np.where(symbols < 256, behind + size + more + last, behind)
+        far = np.flatnonzero(symbols >= 256)
+        if len(far):
+            place = far + sizes[far]
+            lengths, more = _extra(symbols[far] - 256, words[place])
+            place = place + more
+            codes, size = group[4].at(words[place])
+            place = place + size
+            distances, more = _extra(codes, words[place])
+            behind[far] = place + more
+        taken = _walk(np.append(np.minimum(behind, n), n))
+        kinds = symbols[taken]
+        if (kinds < 256).all():
+            counts = np.ones(len(taken), np.int64)
+        else:
+            row = np.searchsorted(far, taken[kinds >= 256])
+            counts = np.ones(len(taken), np.int64)
+            counts[kinds >= 256] = lengths[row]
+        starts = at + np.cumsum(counts) - counts
+        enough = int(np.searchsorted(starts, total))
+        taken, kinds, starts, counts = taken[:enough], kinds[:enough], starts[:enough], counts[:enough]
+        single = kinds < 256
+        pixels[starts[single]] = (ground | kinds[single].astype(np.uint32) << 8) if plain else colours[taken[single]]
+        if not single.all():
+            for start, length, code in zip(starts[~single].tolist(), counts[~single].tolist(), distances[np.searchsorted(far, taken[~single])].tolist(), strict=True):
+                distance = _distance(code, width)
+                if distance > start or start + length > total:
+                    raise ValueError("a reference leaves the image")
+                source = pixels[start - distance : min(start, start - distance + length)]
+                pixels[start : start + length] = source if len(source) == length else np.resize(source, length)
+        at = int(starts[-1] + counts[-1])
+        bits.at += int(behind[taken[-1]])
+        if bits.at > end:
+            raise ValueError("the stream ends early")
+    return pixels
+
+
+def _walk(steps: np.ndarray) -> np.ndarray:
+    """The places reached from 0 by going from each to ``steps`` of it, before the last one, where the walk ends.
+
+    Steps of 2, 4, 8 and 16 are made by array operations; what goes one by one are the steps of 16.
+    """
+    doubled = [steps]
+    for _ in range(4):
+        doubled.append(doubled[-1][doubled[-1]])
+    far, end, places, p = memoryview(doubled[4]), len(steps) - 1, [], 0
+    while p < end:
+        places.append(p)
+        p = far[p]
+    reached = np.array(places, steps.dtype)[:, None]
+    for step in reversed(doubled[:4]):
+        reached = np.stack([reached, step[reached]], 2).reshape(len(reached), -1)
+    reached = reached.ravel()
+    return reached[reached < end]
+
+
+def _distance(code: int, width: int) -> int:
+    if code > len(NEIGHBOURS):
+        return code - len(NEIGHBOURS)
+    dx, dy = NEIGHBOURS[code - 1]
+    return max(1, dx + dy * width)
 
 
 def _split(pixels: np.ndarray) -> np.ndarray:
@@ -351,54 +464,6 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("the file has no lossless image")
 
 
-class BitWriter:
-    def __init__(self):
-        self.value = self.n = 0
-
-    def put(self, value: int, n: int) -> None:
-        self.value |= value << self.n
-        self.n += n
-
-
-@lru_cache(maxsize=512)
-def _flat_header(width: int, height: int) -> BitWriter:
-    """All up to the pixels: no transform, cache or groups; four codes of eight bits and one that isn't used."""
-    out = BitWriter()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        out.put(value, n)
-    for _ in range(4):
-        out.put(0, 1)
-        # one symbol only in the code of lengths: eight; 256 lengths follow, each without a bit
-        out.put(12 - 4, 4)
-        for symbol in LENGTH_ORDER[:12]:
-            out.put(int(symbol == 8), 3)
-        out.put(1, 1)
-        out.put(3, 3)
-        out.put(256 - 2, 8)
-    out.put(1, 1)
-    out.put(0, 3)
-    return out
-
-
-def encode_flat(samples: bytes, width: int, height: int) -> bytes:
-    """A file whose pixels are the samples, four each: green, red, blue, alpha."""
-    if len(samples) != 4 * width * height or not (0 < width <= MAX_SIDE and 0 < height <= MAX_SIDE):
-        raise ValueError("sides and samples don't agree")
-    head = _flat_header(width, height)
-    whole, rest = divmod(head.n, 8)
-    start = head.value.to_bytes(whole + 1, "little")
-    data = _REVERSED[np.frombuffer(samples, np.uint8)]
-    if rest:
-        body = np.zeros(len(data) + 1, np.uint8)
-        body[:-1] = data << rest
-        body[1:] |= data >> (8 - rest)
-        body[0] |= start[whole]
-        stream = start[:whole] + body.tobytes()
-    else:
-        stream = start[:whole] + data.tobytes()
-    return container([(b"VP8L", stream)])
-
-
 def container(parts: list[tuple[bytes, bytes]]) -> bytes:
     body = b"WEBP" + b"".join(name + struct.pack("<I", len(x)) + x + b"\0" * (len(x) & 1) for name, x in parts)
     return b"RIFF" + struct.pack("<I", len(body)) + body
@@ -406,20 +471,26 @@ def container(parts: list[tuple[bytes, bytes]]) -> bytes:
 
 def store(payload: bytes) -> bytes:
     """A file that holds the payload, a positive multiple of ``ROW`` bytes."""
+    from loomspark.llm import webp_encoder
+
     if not payload or len(payload) % ROW:
         raise ValueError(f"the payload isn't a positive multiple of {ROW} bytes")
-    width = ROW // 4
-    while len(payload) > 4 * width * MAX_SIDE:
+    if len(payload) > MAX_GREY:
+        height = -(-len(payload) // (4 * MAX_SIDE))
+        samples = np.frombuffer(payload + bytes(4 * MAX_SIDE * height - len(payload)), np.uint8)
+        return webp_encoder.encode(samples.reshape(height, MAX_SIDE, 4))
+    width = ROW
+    while len(payload) > width * MAX_SIDE:
         width *= 2
-    if width > MAX_SIDE:
-        raise ValueError("the payload is too large for one image")
-    height = -(-len(payload) // (4 * width))
-    return encode_flat(payload + bytes(4 * width * height - len(payload)), width, height)
+    height = -(-len(payload) // width)
+    return webp_encoder.encode_grey(payload + bytes(width * height - len(payload)), width, height)
 
 
 def samples(pixels: np.ndarray) -> bytes:
-    """The samples of ``encode_flat`` out of decoded pixels."""
-    return np.ascontiguousarray(pixels.reshape(-1, 4)[:, [2, 1, 3, 0]]).tobytes()
+    """The samples that ``store`` was given, out of decoded pixels."""
+    if pixels.shape[1] == MAX_SIDE:
+        return pixels.tobytes()
+    return np.ascontiguousarray(pixels[..., 2]).tobytes()
 
 
 def pad(data: bytes) -> bytes:
@@ -427,9 +498,12 @@ def pad(data: bytes) -> bytes:
 
 
 def feature(pixels: np.ndarray) -> str:
-    """Size and the means of the four channels."""
-    means = pixels.reshape(-1, 4).mean(0)
-    return f"{pixels.shape[1]}x{pixels.shape[0]};" + ",".join(f"{m:.4f}" for m in means)
+    """Size, and mean, deviation and number of the levels of green."""
+    counts = np.bincount(pixels[..., 2].ravel(), minlength=256)
+    levels, n = np.arange(256), counts.sum()
+    mean = (counts * levels).sum() / n
+    spread = np.sqrt((counts * (levels - mean) ** 2).sum() / n)
+    return f"{pixels.shape[1]}x{pixels.shape[0]};{mean:.4f},{spread:.4f},{int((counts > 0).sum())}"
 
 
 def decode_column(df: DataFrame, media: str = "media", out: str = "pixels") -> DataFrame:
