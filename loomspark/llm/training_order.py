@@ -3,7 +3,7 @@
 The ids of a task's documents, each with the separator behind it, are one stream that is cut into sequences of
 ``LENGTH`` ids. A keyed Feistel network over the smallest even number of bits, walked along its cycle until it
 falls below the number of sequences, is a permutation of them; it gives each sequence its global slot. Slots are
-dealt by ranges, ``SHARD`` to a file, and a file holds its sequences in order at a fixed stride: slot s
+dealt by ranges, ``SHARD`` to a file (more in tables beyond ``MOST_SHARDS`` files), and a file holds its sequences in order at a fixed stride: slot s
 stands in file s // SHARD at byte (s % SHARD) * stride, so reading can resume anywhere.
 
 Two passes: the first only counts, so that every partition knows the number of its first sequence; the second
@@ -30,8 +30,8 @@ from loomspark.llm.common import documents, shared_dir
 from loomspark.llm.packing import SEPARATOR, id_reader
 
 LENGTH = 1024
-#: Sequences to a file.
-SHARD = 4096
+#: Sequences to a file, at least; files beyond which they get larger; and tasks beyond which each writes several.
+SHARD, MOST_SHARDS, MOST_TASKS = 4096, 1 << 16, 20_000
 ROUNDS = 6
 KEY = 0x5EED
 
@@ -113,7 +113,12 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
 
 
-def materialise(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, shard: int = SHARD, key: int = KEY, path: str | None = None, width: int = 2) -> DataFrame:
+def shard_size(total: int) -> int:
+    """Sequences to a file for a table of so many, when none is asked for: a power of two."""
+    return max(SHARD, 1 << (-(-total // MOST_SHARDS) - 1).bit_length()) if total else SHARD
+
+
+def materialise(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, shard: int | None = None, key: int = KEY, path: str | None = None, width: int = 2) -> DataFrame:
     """Writes the shards below ``out``, a folder that all executors see, and returns a row for each sequence, of
     what was read back: slot, shard, byte_offset, first_doc_id, first_start, n_bytes, crc32.
 
@@ -134,6 +139,7 @@ def materialise(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "te
         firsts[part] = total
         total += counts[part]
     order = Feistel(total, key)
+    shard = shard or shard_size(total)
     places = df.sparkSession.sparkContext.broadcast((firsts, counts))
 
     def place(batches):
@@ -163,12 +169,17 @@ def materialise(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "te
     def write(batches):
         import uuid
 
+        from pyarrow import fs
+
         system, base = _filesystem(out)
         stride, current, file, temporary, rows_of = length * width, None, None, None, []
 
         def finish():
             file.close()
             name = f"{base}/shard-{current:06d}.bin"
+            if system.get_file_info(name).type != fs.FileType.NotFound:
+                # a task that ran before has left it; not every file system renames onto a file
+                system.delete_file(name)
             system.move(temporary, name)
             with system.open_input_file(name) as back:
                 crcs = []
@@ -198,8 +209,9 @@ def materialise(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "te
 
     placed = rows.mapInArrow(place, "shard int, slot long, first_doc_id long, first_start long, ids binary")
     n_shards = max(1, -(-total // shard))
-    # equal ranges of slots are known beforehand, so no sampling pass is needed: a range is a shard
-    dealt = placed.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "slot")
+    # equal ranges of slots are known beforehand, so no sampling pass is needed: a task has one shard, or several in a large table
+    per_task = -(-n_shards // MOST_TASKS)
+    dealt = placed.repartitionById(-(-n_shards // per_task), F.expr(f"CAST(shard div {per_task} AS INT)")).sortWithinPartitions("shard", "slot")
     return dealt.mapInArrow(write, "slot long, shard int, byte_offset long, first_doc_id long, first_start long, n_bytes int, crc32 long")
 
 
