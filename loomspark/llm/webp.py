@@ -135,8 +135,10 @@ def _read_code(bits: Bits, size: int) -> Prefix:
             lengths[bits.read(8)] = 1
         return prefix_code(tuple(lengths))
     of_lengths = [0] * len(LENGTH_ORDER)
-    for i in range(4 + bits.read(4)):
-        of_lengths[LENGTH_ORDER[i]] = bits.read(3)
+    n = 4 + bits.read(4)
+    sizes = bits.read(3 * n)
+    for i in range(n):
+        of_lengths[LENGTH_ORDER[i]] = sizes >> 3 * i & 7
     code = prefix_code(tuple(of_lengths))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     at, last = 0, 8
@@ -249,7 +251,7 @@ def _read_tokens(bits: Bits, group: list[Prefix], width: int, total: int) -> np.
         raw[: len(part)] = part
         words = np.ndarray(len(raw) - 4, "<u4", raw.data, strides=(1,))
         words = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()[bits.at & 7 :]
-        here = np.arange(n, dtype=np.int32)
+        here = np.arange(n)
         symbols, sizes = group[0].at(words[:n])
         behind = here + sizes
         if not plain:
@@ -267,7 +269,10 @@ def _read_tokens(bits: Bits, group: list[Prefix], width: int, total: int) -> np.
             place = place + size
             distances, more = _extra(codes, words[place])
             behind[far] = place + more
-        taken = _walk(np.append(np.minimum(behind, n), n))
+        steps = np.empty(n + 1, np.int64)
+        np.minimum(behind, n, out=steps[:n])
+        steps[n] = n
+        taken = _walk(steps)
         kinds = symbols[taken]
         if (kinds < 256).all():
             counts = np.ones(len(taken), np.int64)

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 
@@ -63,28 +62,37 @@ class Fields:
 
 def code_lengths(counts: Sequence[int], longest: int = 15) -> list[int]:
     """Lengths of a prefix code for the symbols that occur, none over ``longest``."""
+    lengths = [0] * len(counts)
+    used = sorted((c, s) for s, c in enumerate(counts) if c)
+    n = len(used)
+    if n < 2:
+        for _, s in used:
+            lengths[s] = 1
+        return lengths
     floor = 1
     while True:
-        heap = [(max(n, floor), s, None) for s, n in enumerate(counts) if n]
-        lengths = [0] * len(counts)
-        if len(heap) < 2:
-            for _, s, _ in heap:
-                lengths[s] = 1
-            return lengths
-        heapify(heap)
-        number = len(counts)
-        while len(heap) > 1:
-            a, b = heappop(heap), heappop(heap)
-            heappush(heap, (a[0] + b[0], number, (a, b)))
-            number += 1
-        below = [(heap[0], 0)]
-        while below:
-            (_, s, parts), depth = below.pop()
-            if parts is None:
-                lengths[s] = depth
-            else:
-                below += [(parts[0], depth + 1), (parts[1], depth + 1)]
-        if max(lengths) <= longest:
+        # leaves in order and then the nodes made of them, whose weights grow too: the least two are at the heads of these queues
+        weight = [max(c, floor) for c, _ in used] + [0] * (n - 1)
+        above = [0] * (2 * n - 1)
+        leaf, node = 0, n
+        for made in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (node >= made or weight[leaf] <= weight[node]):
+                    total += weight[leaf]
+                    above[leaf] = made
+                    leaf += 1
+                else:
+                    total += weight[node]
+                    above[node] = made
+                    node += 1
+            weight[made] = total
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
+            depth[i] = depth[above[i]] + 1
+        if max(depth) <= longest:
+            for (_, s), d in zip(used, depth[:n], strict=True):
+                lengths[s] = d
             return lengths
         # rarer symbols count as more, until the tree is flat enough
         floor = max(2 * floor, sum(counts) >> longest)
@@ -152,7 +160,8 @@ def matches(pixels: np.ndarray) -> list[tuple[int, int, int]]:
     n = len(pixels) - RUN + 1
     if n < 2:
         return []
-    if pixels.dtype == np.uint8:
+    exact = pixels.dtype == np.uint8
+    if exact:
         key = np.ndarray(n, "<u8", np.ascontiguousarray(pixels).data, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
     else:
         key = np.zeros(n, np.uint64)
@@ -176,7 +185,8 @@ def matches(pixels: np.ndarray) -> list[tuple[int, int, int]]:
         if not far:
             continue
         at, stop = max(start, done), end + RUN - 1
-        if stop - at < RUN or not np.array_equal(pixels[at:stop], pixels[at - far : stop - far]):
+        # of bytes the key is the run itself, mixed in a way that can be undone; of pixels it is a hash
+        if stop - at < RUN or not exact and not np.array_equal(pixels[at:stop], pixels[at - far : stop - far]):
             continue
         while stop - at >= RUN:
             length = min(LONGEST, stop - at)
