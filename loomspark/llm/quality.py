@@ -4,7 +4,9 @@ Each text becomes a short vector of statistics (shares of kinds of characters, r
 shape of words), transformed by square roots or logarithms. Both classes are Gaussian with
 their own mean and a covariance shrunk towards its diagonal and the pooled one. The score is the
 logistic of the difference of log densities, from Mahalanobis distances through Cholesky factors
-that are computed once.
+that are computed once. The statistics of a few words scatter, so the difference is weakened by words / (words + ``few``), and
+nearly all of a very short text's score is the share of class 1 among the labels; ``few`` is what makes labelled texts likeliest
+that weren't learned from (two folds).
 
 Learning takes up to ``PER_CLASS`` labelled texts of each class, chosen by a hash of doc_id; their
 vectors are all that reaches the driver. Null and empty texts have a vector too, and so a score.
@@ -28,8 +30,8 @@ PER_CLASS = 4000
 THRESHOLD = 0.7
 #: Weights of the pooled covariance, the diagonal, and a floor for each variance.
 TO_POOLED, TO_DIAGONAL, FLOOR = 0.2, 0.1, 1e-3
-#: Words at which a text's statistics count by half.
-FEW = 8
+#: Numbers of words at which a text's statistics may count by half; labels choose one.
+FEW = (0.0, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 FEATURES = ("upper", "digit", "symbol", "mark", "pipe", "shout", "space", "repeat", "common", "distinct", "length", "lines", "ending")
 
 
@@ -67,20 +69,21 @@ class Model:
     #: Inverse Cholesky factors and half log determinants.
     factors: np.ndarray | None = None
     logdets: np.ndarray | None = None
+    few: float = 0.0
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """x: vectors with the number of words behind. The fewer words, the nearer is a text moved to
-        the mean of class 1, as the statistics of a few words scatter."""
-        if self.means is None:
-            return np.full(len(x), self.prior)
-        n, x = x[:, -1:], x[:, :-1]
-        x = self.means[1] + (x - self.means[1]) * (n / (n + FEW))
+    def odds(self, x: np.ndarray, few: float) -> np.ndarray:
+        """x: vectors with the number of words behind."""
+        n, x = x[:, -1], x[:, :-1]
         logs = []
         for k in (0, 1):
             z = (x - self.means[k]) @ self.factors[k].T
             logs.append(-0.5 * (z * z).sum(1) - self.logdets[k])
-        odds = np.log(self.prior / (1 - self.prior)) + logs[1] - logs[0]
-        return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+        return np.log(self.prior / (1 - self.prior)) + (logs[1] - logs[0]) * n / np.maximum(n + few, 1e-9)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        if self.means is None:
+            return np.full(len(x), self.prior)
+        return 1 / (1 + np.exp(-np.clip(self.odds(x, self.few), -60, 60)))
 
 
 def discriminant(x: np.ndarray, y: np.ndarray, prior: float) -> Model:
@@ -100,6 +103,23 @@ def discriminant(x: np.ndarray, y: np.ndarray, prior: float) -> Model:
     return Model(prior, means, np.array(factors), np.array(logdets))
 
 
+def with_few(x: np.ndarray, y: np.ndarray, prior: float) -> Model:
+    """The discriminant of all rows, with the ``few`` that tells each half best by a model of the other one."""
+    model = discriminant(x, y, prior)
+    if model.means is None:
+        return model
+    loss = dict.fromkeys(FEW, 0.0)
+    for half in (0, 1):
+        learn, judge = np.arange(len(y)) % 2 == half, np.arange(len(y)) % 2 != half
+        part = discriminant(x[learn], y[learn], prior)
+        if part.means is None:
+            return model
+        for few in FEW:
+            loss[few] += np.logaddexp(0, -np.clip(part.odds(x[judge], few), -60, 60) * (2 * y[judge] - 1)).sum()
+    model.few = min(FEW, key=loss.__getitem__)
+    return model
+
+
 def fit(docs: DataFrame, marks: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", per_class: int = PER_CLASS) -> Model:
     """A doc_id with several labels counts as its least one."""
     rows = marks.select(F.col(doc_id).alias("i"), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("i").isNotNull() & ~held_out("i"))
@@ -119,7 +139,8 @@ def fit(docs: DataFrame, marks: DataFrame, text: str = "text", doc_id: str = "do
     found = map_rows(met, make, "y int, x array<double>").collect()
     if not found:
         return Model(sizes[1] / n)
-    return discriminant(np.array([r["x"] for r in found]), np.array([r["y"] for r in found]), sizes[1] / n)
+    found = sorted((r["x"], r["y"]) for r in found)
+    return with_few(np.array([x for x, _ in found]), np.array([y for _, y in found]), sizes[1] / n)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
