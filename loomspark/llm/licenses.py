@@ -1,15 +1,17 @@
 """License scans by an exact set-similarity join.
 
-A text block is a line. Its distinct words and those of a template are sets, and a block meets a template if
-it contains at least ``THRESHOLD`` of the template's words. Both sides are put in one global order,
-the rarest word of the corpus first, by document frequencies counted over the whole table. Then
-
-* prefix filter: a qualifying pair shares a word within the first ``n - need + 1`` of the template;
-* length filter: a block with fewer than ``need`` of all template words can't qualify;
+For a template of n words the blocks of a text are all its windows of 2 n words that begin at a multiple of n, so a notice
+that is no longer than its template lies within a block wherever it stands and however its lines are wrapped. The distinct words of a block
+and of a template are sets, and a block meets a template if it contains at least ``THRESHOLD`` of the template's words, and those that tell
+it from its like (``mit``, ``nc``). Both sides are put in one global order, the rarest word of the corpus first, by document
+frequencies counted over the whole table. Then
+
+* prefix filter: a qualifying pair shares a word within the first ``n - need + 1`` of the template; only blocks round such words are made;
+* length filter: a block with fewer than ``need`` words can't qualify;
 * positional filter: what is left behind the first shared word must still reach ``need``;
 
 and what passes is verified by its whole overlap. Templates are a fixed list in this file, so the join's small
-side stands in the plan as literals; no block is shuffled. Lines without any prefix word are never
+side stands in the plan as literals; no block is shuffled. Texts without any prefix word are never
 split into words.
 
 Base labels come from phrases (runs of words) wherever they stand. Null texts are empty ones; an empty table
@@ -23,21 +25,33 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import documents
+from loomspark.llm.common import documents, running
 
 # Fixed phrases and their labels
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Opening lines of common notices.
+#: Notices: label, words, and those that must not be missing.
 TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("mit", "Released under the MIT License"),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache"),
+    (
+        "apache-2.0-header",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "apache",
+    ),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution"),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "attribution"),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", "nc"),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", "gnu"),
+    (
+        "gpl-header",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "gnu",
+    ),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "fee"),
+    ("mit", "Released under the MIT License", "mit"),
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "charge"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License", "mozilla"),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered"),
 )
 THRESHOLD = 0.8
 #: Words of lower-cased text.
@@ -59,10 +73,15 @@ def _words(text: str) -> str:
     return f"array_remove(split({text}, {_q(_BETWEEN + '+')}, -1), '')"
 
 
-def template_words(templates=TEMPLATES) -> dict[str, list[str]]:
+def template_words(templates=TEMPLATES) -> dict[str, tuple[int, list[str], list[str]]]:
+    """Of each label the number of words, the distinct ones and those that must not be missing."""
     import re
 
-    return {label: sorted(set(re.findall(WORD, text.lower()))) for label, text in templates}
+    found = {}
+    for label, text, marks in templates:
+        words = re.findall(WORD, text.lower())
+        found[label] = len(words), sorted(set(words)), marks.split()
+    return found
 
 
 def frequencies(df: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -72,58 +91,69 @@ def frequencies(df: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def _lower(df: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
-    """Lower-casing other letters than A-Z changes no boundary of a word and makes no letter of a phrase."""
-    return df.select(*keep, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("lower"))
+    """``_row`` with the kept columns and ``lower``, in which A to Z alone are lower-cased."""
+    upper, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    kept = [F.col(f"`{c}`") for c in keep] or [F.lit(None).alias("_none")]
+    rows = df.select(F.struct(*kept).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # of ASCII texts both are the same, and the first costs less
+    return rows.select("_row", F.expr(f"CASE WHEN octet_length(text) = char_length(text) THEN lower(text) ELSE translate(text, '{upper}', '{small}') END").alias("lower"))
 
 
 def join_blocks(df: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds ``found``: (label, containment) of every template that a line of ``lower`` meets."""
+    """Adds ``found``: (label, containment) of every template that a block of ``lower`` meets."""
     sets = template_words(templates)
-    vocabulary = sorted({w for words in sets.values() for w in words})
+    vocabulary = sorted({w for _, words, _ in sets.values() for w in words})
     counts = frequencies(df, vocabulary)
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
-    ranked = {label: sorted(words, key=rank.__getitem__) for label, words in sets.items()}
-    need = {label: ceil(threshold * len(words) - 1e-9) for label, words in ranked.items()}
-    prefix = {label: words[: len(words) - need[label] + 1] for label, words in ranked.items()}
-    firsts = sorted({w for words in prefix.values() for w in words}, key=rank.__getitem__)
-    least = min(need.values())
-    some = "|".join(sorted(firsts, key=len, reverse=True))
-    # a line holds a prefix word as a run of letters at least: cheap, and never wrong as the words are looked at after
-    lines = f"filter(split(lower, '\\n'), b -> b RLIKE {_q('(?:' + some + ')')})"
-    df = df.withColumn("_lines", F.expr(f"CASE WHEN lower RLIKE {_q('(?:' + some + ')')} THEN {lines} ELSE CAST(array() AS array<string>) END"))
-    # the words of a line that any template has, in the global order
-    df = df.withColumn("_sets", F.expr(f"filter(transform(_lines, b -> array_intersect({_array(order)}, {_words('b')})), s -> size(s) >= {least})"))
-    tables = ", ".join(f"named_struct('label', {_q(label)}, 'words', {_array(words)}, 'prefix', {_array(prefix[label])}, 'need', {need[label]})" for label, words in sorted(ranked.items()))
-    pairs = f"""flatten(transform(_sets, s -> transform(filter(array({tables}), t ->
-        size(s) >= t.need
-        AND arrays_overlap(s, t.prefix)
-        AND 1 + least(size(t.words) - array_position(t.words, array_intersect(t.prefix, s)[0]), size(s) - array_position(s, array_intersect(t.prefix, s)[0])) >= t.need
-        AND size(array_intersect(t.words, s)) >= t.need),
-        t -> named_struct('label', t.label, 'containment', CAST(size(array_intersect(t.words, s)) AS DOUBLE) / size(t.words)))))"""
-    return df.withColumn("found", F.expr(pairs)).drop("_lines", "_sets")
+    tables = []
+    for label, (n, words, marks) in sorted(sets.items()):
+        ranked = sorted(words, key=rank.__getitem__)
+        need = ceil(threshold * len(ranked) - 1e-9)
+        tables.append((label, n, ranked, ranked[: len(ranked) - need + 1], need, marks))
+    firsts = sorted({w for t in tables for w in t[3]}, key=rank.__getitem__)
+    # a text holds a prefix word as a run of letters at least: cheap, and never wrong as the words are looked at after
+    some = _q("(?:" + "|".join(sorted(firsts, key=len, reverse=True)) + ")")
+    df = df.withColumn("_words", F.expr(f"CASE WHEN lower RLIKE {some} THEN {_words('lower')} ELSE CAST(array() AS array<string>) END"))
+    df = df.withColumn("_places", F.expr(f"filter(transform(_words, (w, i) -> named_struct('i', i, 'w', w)), p -> array_contains({_array(firsts)}, p.w))"))
+    none = "CAST(array() AS array<struct<label:string,containment:double>>)"
+    each = []
+    for k, (label, n, ranked, prefix, need, marks) in enumerate(tables):
+        must = " AND ".join(f"array_contains(_words, {_q(w)})" for w in marks)
+        places = f"filter(_places, p -> array_contains({_array(prefix)}, p.w))"
+        blocks = f"filter(array_distinct(flatten(transform({places}, p -> array(p.i div {n}, p.i div {n} - 1)))), b -> b >= 0)"
+        # the block's words that the template has, in the global order; the length filter looks at the block's own words
+        shared = f"transform({blocks}, b -> array_intersect({_array(ranked)}, slice(_words, CAST(b * {n} + 1 AS INT), {2 * n})))"
+        # behind the first shared word the template has so many words left, and no more of them can be shared
+        first = f"array_position({_array(ranked)}, s[0])"
+        passed = f"filter({shared}, s -> size(s) > 0 AND 1 + {len(ranked)} - {first} >= {need} AND size(s) >= {need}" + "".join(f" AND array_contains(s, {_q(w)})" for w in marks) + ")"
+        found = f"transform({passed}, s -> named_struct('label', {_q(label)}, 'containment', CAST(size(s) AS DOUBLE) / {len(ranked)}))"
+        df = df.withColumn(f"_found{k}", F.expr(f"CASE WHEN size(_words) >= {need} AND {must} THEN {found} ELSE {none} END"))
+    names = [f"_found{k}" for k in range(len(tables))]
+    return df.withColumn("found", F.expr(f"concat({', '.join(names)})")).drop("_words", "_places", *names)
 
 
 def phrases(df: DataFrame, wanted=PHRASES) -> DataFrame:
     """Adds ``n_words`` and ``places``: (word, label) of every place where a phrase's words stand one behind the other."""
     df = df.withColumn("n_words", F.expr(f"size({_words('lower')})").cast("long"))
-    none = "CAST(array() AS array<struct<at:int,label:string>>)"
     each = []
     for i, (phrase, label) in enumerate(wanted):
         pattern = _q(rf"(?<=\A|{_BETWEEN})" + (_BETWEEN + "+").join(phrase.split()) + rf"(?={_BETWEEN}|\z)")
         there = " AND ".join(f"contains(lower, {_q(w)})" for w in phrase.split())
-        df = df.withColumn(f"_parts{i}", F.expr(f"CASE WHEN {there} THEN transform(split(lower, {pattern}, -1), p -> size({_words('p')})) END"))
         n = len(phrase.split())
-        each.append(
-            f"""CASE WHEN size(_parts{i}) > 1 THEN aggregate(sequence(0, size(_parts{i}) - 2), named_struct('at', 0, 'out', {none}),
-            (a, k) -> named_struct('at', a.at + _parts{i}[k] + {n}, 'out', concat(a.out, array(named_struct('at', a.at + _parts{i}[k], 'label', {_q(label)})))), a -> a.out) ELSE {none} END"""
-        )
-    return df.withColumn("places", F.expr(f"concat({', '.join(each)})")).drop(*(f"_parts{i}" for i in range(len(wanted))))
+        # words before each place: those of the parts before it and of the phrases between
+        steps = f"transform(slice(p, 1, size(p) - 1), x -> size({_words('x')}) + {n})"
+        df = df.withColumn(f"_steps{i}", F.expr(f"CASE WHEN {there} THEN transform(array(split(lower, {pattern}, -1)), p -> {steps})[0] ELSE CAST(array() AS array<int>) END"))
+        df = df.withColumn(f"_before{i}", F.expr(running(f"_steps{i}")))
+        each.append(f"transform(_steps{i}, (x, k) -> named_struct('at', CAST(_before{i}[k] AS INT) + x - {n}, 'label', {_q(label)}))")
+    return df.withColumn("places", F.expr(f"concat({', '.join(each)})")).drop(*(f"{c}{i}" for i in range(len(wanted)) for c in ("_steps", "_before")))
 
 
 def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """The columns in ``keep``, ``lower``, ``n_words``, ``places`` and ``found``."""
-    return phrases(join_blocks(_lower(df, keep, text), templates, threshold))
+    """The columns in ``keep``, ``lower``, ``n_words``, ``places`` and ``found``; a kept column of such a name is replaced."""
+    results = ("lower", "n_words", "places", "found")
+    rows = phrases(join_blocks(_lower(df, tuple(c for c in keep if c not in results), text), templates, threshold))
+    return rows.select("_row.*", *results).drop("_none")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +172,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    rows = ", ".join(f"('{label}', {words!r})" for label, words in template_words().items())
+    rows = ", ".join(f"('{label}', {n}, {words!r}, {marks!r})" for label, (n, words, marks) in template_words().items())
     word = WORD
     hits = " UNION ALL ".join(
         f"SELECT rid, '{label}' AS label, i - 1 AS pos FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM words) WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" if k else f"w[i] = '{x}'" for k, x in enumerate(phrase.split()))
@@ -153,10 +183,10 @@ def _oracle() -> str:
     words AS (SELECT rid, doc_id, regexp_extract_all(t, '{word}') AS w FROM docs),
     places AS ({hits}),
     base AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM places GROUP BY rid),
-    lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs),
-    sets AS (SELECT rid, list_distinct(regexp_extract_all(line, '{word}')) AS s FROM lines),
-    templates(label, words) AS (VALUES {rows}),
-    found AS (SELECT rid, label, len(list_intersect(words, s)) / len(words) AS containment FROM sets, templates WHERE len(list_intersect(words, s)) >= {THRESHOLD} * len(words) - 1e-9),
+    templates(label, n, words, marks) AS (VALUES {rows}),
+    blocks AS (SELECT rid, w, label, n, words, marks, unnest(range(0, len(w), n)) AS start FROM words, templates WHERE len(list_intersect(w, marks)) = len(marks)),
+    sets AS (SELECT rid, label, words, marks, list_intersect(words, w[start + 1 : start + 2 * n]) AS s FROM blocks),
+    found AS (SELECT rid, label, len(s) / len(words) AS containment FROM sets WHERE len(s) >= {THRESHOLD} * len(words) - 1e-9 AND len(list_intersect(s, marks)) = len(marks)),
     best AS (SELECT rid, max(containment) AS score FROM found GROUP BY rid),
     every AS (SELECT rid, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM (SELECT rid, label FROM found UNION ALL SELECT rid, label FROM places) GROUP BY rid)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
