@@ -54,6 +54,19 @@ def remove_dir(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def running(steps: str) -> str:
+    """SQL of the sums of the numbers before each one of the array ``steps``.
+
+    A fold that appends copies what it has; so blocks of 256 are folded, and then the blocks: the work stays about linear.
+    """
+    none, blocks = "CAST(array() AS array<bigint>)", "CAST(array() AS array<array<bigint>>)"
+    block = f"aggregate(slice({steps}, c * 256 + 1, 256), named_struct('at', a.at, 'out', {none}), (b, x) -> named_struct('at', b.at + x, 'out', concat(b.out, array(b.at))))"
+    return f"""CASE WHEN size({steps}) > 0 THEN flatten(aggregate(
+        sequence(0, (size({steps}) - 1) div 256), named_struct('at', 0L, 'out', {blocks}),
+        (a, c) -> aggregate(array({block}), a, (z, r) -> named_struct('at', r.at, 'out', concat(z.out, array(r.out)))),
+        a -> a.out)) ELSE {none} END"""
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[list[list]], dict[str, list]]],

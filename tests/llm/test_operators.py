@@ -204,8 +204,98 @@ def test_language_held_out(spark, docs, empty):
     assert all(0 <= r.score <= 1 for r in odd.values())
     assert {r.lang_pred for r in language.identify(docs, language.fit(empty)).collect()} == {"und"}
     assert language.identify(empty, model).count() == 0
-    codes = language.codewords(5)
-    assert min(int((codes[i] != codes[j]).sum()) for i in range(5) for j in range(i)) == 4
+    for n in range(2, 8):
+        codes = language.codewords(n)
+        assert codes.shape[1] == 2 ** (n - 1) - 1 == len({tuple(c) for c in codes.T} | {tuple(-c) for c in codes.T}) // 2
+        assert min(int((codes[i] != codes[j]).sum()) for i in range(n) for j in range(i)) == 2 ** (n - 2)
+    for n in (8, 30, 200):
+        codes = language.codewords(n)
+        assert codes.shape[1] <= 80 and min(int((codes[i] != codes[j]).sum()) for i in range(n) for j in range(i)) >= codes.shape[1] // 5
+
+
+def test_language_by_hand():
+    """The prediction written out for four languages: trigrams, log ratios, clipped margins, weighted exponential loss."""
+    pick = random.Random(3)
+    texts = ["".join(pick.choice(letters) for _ in range(3000)) for letters in ("abcde   ", "cdefg   ", "efghi   ", "ghijk   ")]
+    table = np.array([language.trigrams(t) for t in texts], float)
+    model = language.learned(["a", "b", "c", "d"], table)
+    smooth = table + language.SMOOTH * table.sum(1, keepdims=True) / table.sum(1).mean()
+    shares = smooth / smooth.sum(1, keepdims=True)
+    sides = [[(-1) ** ((j >> i) & 1) for j in range(1, 8)] for i in range(3)]
+    codes = np.array([[1] * 7, *sides])
+    sample = "abcd efg hi cde"
+    counts = language.trigrams(sample)
+    loss, trust = np.zeros(4), []
+    for j in range(7):
+        one, other = shares[codes[:, j] > 0].mean(0), shares[codes[:, j] < 0].mean(0)
+        trust.append(((np.log(one) - np.log(other)) * (one - other)).sum())
+    for j in range(7):
+        one, other = shares[codes[:, j] > 0].mean(0), shares[codes[:, j] < 0].mean(0)
+        known = counts[(table > 0).any(0)].sum() / counts.sum()
+        margin = language.GAIN * known * (counts * (np.log(one) - np.log(other))).sum() / counts.sum() * min(1, (counts.sum() / language.ENOUGH) ** 0.5)
+        loss += trust[j] / np.mean(trust) * np.exp(-codes[:, j] * np.clip(margin, -language.LIMIT, language.LIMIT))
+    share = np.exp(-loss) / np.exp(-loss).sum()
+    name, score = model.predict(sample)
+    assert name == "abcd"[int(share.argmax())] and abs(score - share.max()) < 0.02
+
+
+def test_discriminant_by_hand():
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 1, (200, 14)), rng.normal(0.7, 1.4, (300, 14))])
+    x[:, -1] = rng.integers(1, 60, 500)
+    y = np.repeat([0, 1], [200, 300])
+    model = quality.discriminant(x, y, 0.6)
+    model.few = 4.0
+    logs = []
+    pooled = sum(np.cov(x[y == k][:, :-1].T, bias=True) * (y == k).sum() for k in (0, 1)) / 500
+    for k in (0, 1):
+        part = x[y == k][:, :-1]
+        c = (1 - quality.TO_POOLED) * np.cov(part.T, bias=True) + quality.TO_POOLED * pooled
+        c = (1 - quality.TO_DIAGONAL) * c + quality.TO_DIAGONAL * np.diag(np.diag(c)) + quality.FLOOR * np.eye(13)
+        d = x[:, :-1] - part.mean(0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) - 0.5 * np.linalg.slogdet(c)[1])
+    odds = np.log(0.6 / 0.4) + (logs[1] - logs[0]) * x[:, -1] / (x[:, -1] + 4)
+    assert np.allclose(model.scores(x), 1 / (1 + np.exp(-np.clip(odds, -60, 60))))
+
+
+def plain_battery(token):
+    """Encoding, chi-squared, runs and serial correlation of a token, and the p-value, one by one."""
+    from math import erfc, sqrt
+
+    name, _, alphabet = next(e for e in secrets.ENCODINGS if re.fullmatch(e[1].strip("^$"), token))
+    n, k, places = len(token), len(alphabet), [alphabet.index(c) + 1 for c in token]
+    chi2 = sum((token.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+    high = [2 * p > k for p in places]
+    a = sum(high)
+    runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
+    runs_z = (runs - 1 - 2 * a * (n - a) / n) / sqrt(2 * a * (n - a) * (2 * a * (n - a) - n) / (n * n * (n - 1))) if 0 < a < n else 99
+    mean = sum(places) / n
+    spread = sum((p - mean) ** 2 for p in places)
+    serial_z = sum((x - mean) * (y - mean) for x, y in zip(places, places[1:] + places[:1])) / spread * sqrt(n) if spread else 99
+    shift = n * max(secrets.LEAST_UNEVEN, secrets.SAME_LETTER * k - 1)
+    z = max((chi2 - (k - 1) - shift) / sqrt(2 * (k - 1 + 2 * shift)), *(abs(v) - secrets.DEPENDENCE * sqrt(n) for v in (runs_z, serial_z)))
+    return name, chi2, runs_z, serial_z, 0.5 * erfc(-z / sqrt(2))
+
+
+def test_battery_and_step_up_by_hand(spark):
+    pick = random.Random(9)
+    kinds = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    tokens = ["7g" + "".join(pick.choices(k, k=pick.randrange(20, 80))) for k in kinds for _ in range(15)] + ["a1" * 15, "version2_of_the_long_identifier_name"]
+    rows = [(i, [(0, len(t), 3, t)]) for i, t in enumerate(tokens)]
+    df = secrets.battery(spark.createDataFrame(rows, f"i int, s {secrets._SPAN}"), "s")
+    weighted = []
+    for r in df.collect():
+        (got,) = r["_tested"]
+        name, chi2, runs_z, serial_z, p = plain_battery(tokens[r.i])
+        assert secrets.ENCODINGS[got.encoding][0] == name
+        assert np.allclose([got.chi2, got.runs_z, got.serial_z], [chi2, runs_z, serial_z]) and abs(got.p - p) < 1e-6
+        weighted.append((p * secrets.MIDDLE / len(tokens[r.i]), len(tokens[r.i]) / secrets.MIDDLE))
+    cut = secrets.threshold(df)
+    total = sum(w for _, w in weighted)
+    exact = max([p for p, _ in weighted if p * total <= secrets.RATE * sum(q <= p for q, _ in weighted)])
+    # bins are a tenth of a power of ten wide at most, and never take more than the rate
+    assert exact / 1.3 <= cut * 1.3 and cut * total <= secrets.RATE * sum(q <= cut for q, _ in weighted) + 1e-9
+    assert {r.i for r in secrets.discover(df).where(F.size("random") > 0).collect()} == {i for i, (p, _) in enumerate(weighted) if p <= cut}
 
 
 def test_quality_held_out(spark, docs, empty):
@@ -302,6 +392,17 @@ def test_licenses(docs, rows, empty):
         assert found[i].n_words == len(words)
         assert sorted((p["at"], p["label"]) for p in found[i].places) == want
     assert {f["label"] for f in found[13].found} == {"cc-by-nc-4.0"}
+    wrapped = {}
+    for i, (label, text, _) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        lines = [" ".join(words[k : k + 5]) for k in range(0, len(words), 5)]
+        wrapped[i] = "lead " * (i * 3 + 1) + "\n * ".join(lines) + " tail" * 40
+    odd = [(100, "released the house and the garden under one roof license"), (101, "Released under the BSD License"), (102, "Licensed under CC BY 4.0"), (103, "wor\u212a is free")]
+    df = docs.sparkSession.createDataFrame([*wrapped.items(), *odd], "doc_id long, text string")
+    got = {r.doc_id: {f["label"] for f in r.found} for r in licenses.scan(df, keep=("doc_id",)).collect()}
+    for i, (label, *_) in enumerate(licenses.TEMPLATES):
+        assert label in got[i], label
+    assert not any(got[i] for i, _ in odd)
     assert licenses.scan(empty).count() == 0
 
 
