@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import language, packing, quality, secrets, simhash
-from loomspark.llm.common import documents, labels, shared_dir
+from loomspark.llm.common import documents, labels, remove_dir, shared_dir
 
 #: Scores under this aren't told from a tie between languages.
 LEAST_LANGUAGE = 0.4
@@ -38,9 +38,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every found secret is replaced by a mark."""
-    rest = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    clean = secrets.redact(secrets.scan(docs, keep=rest))
-    return _like(docs, clean.withColumn("n_chars", F.char_length("text").cast("long")))
+    return _like(docs, secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """A stage's table is removed when the next one is written; that of the last but one is what the result reads."""
+    docs, before = documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
         folder = shared_dir(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            remove_dir(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
