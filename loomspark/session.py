@@ -29,9 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder that ``spark.checkpoint.dir`` names; sets one of its own only where none is named."""
+    """Keeps the folder that ``spark.checkpoint.dir`` names. Where none is named, a local session (tests) gets one of its own; on
+    a cluster that is an error, as executors wouldn't see it."""
+    import re
     import tempfile
 
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomspark-"))
