@@ -44,7 +44,7 @@ MAX_GREY = WIDEST_GREY * MAX_SIDE
 #: Bits whose tokens are looked up at once, and the bits behind them that these may reach into.
 WINDOW, REACH = 1 << 18, 256
 #: Images up to this many pixels are read one by one, which costs less.
-FEW_PIXELS = 400
+FEW_PIXELS = 600
 
 
 class Bits:
@@ -204,9 +204,8 @@ def _read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.n
             group = groups[groups_of[(at // width >> block) * across + (at % width >> block)]]
         green = group[0].read(bits)
         if green < 256:
-            red = group[1].read(bits)
-            blue = group[2].read(bits)
-            pixels[at] = group[3].read(bits) << 24 | red << 16 | green << 8 | blue
+            red, blue, alpha = group[1].read(bits), group[2].read(bits), group[3].read(bits)
+            pixels[at] = alpha << 24 | red << 16 | green << 8 | blue
             at += 1
         elif green < 280:
             length = _extended(bits, green - 256)

@@ -16,6 +16,8 @@ from loomspark.llm import webp
 
 #: Pixels that are equal at least for a back-reference, and at most in one.
 RUN, LONGEST = 8, 4096
+#: Bytes of an image of levels from which references are looked for: in less they save little.
+LEAST_SEARCHED = 2048
 #: Side of the squares that choose a predictor and a cross-colour element, as a power of two; the bits of the colour cache.
 SQUARE, CACHE = 4, 6
 MODES = (1, 2, 5, 7, 10, 11, 12)
@@ -238,7 +240,7 @@ _NO_REFERENCES = (np.zeros(0, np.int64), (np.zeros(0, np.int64),) * 3, (np.zeros
 def _put_image(out: Fields, pixels: np.ndarray, width: int, main: bool = False, cache: int = 0) -> None:
     """An entropy-coded image of 32-bit pixels in rows, or of the levels of green alone if they are bytes; the others are 0 then and alpha is 255."""
     single = pixels.dtype == np.uint8
-    found = matches(pixels)
+    found = [] if single and len(pixels) < LEAST_SEARCHED else matches(pixels)
     at, long, far = _references(found, width) if found else _NO_REFERENCES
     literal = np.ones(len(pixels), bool)
     for start, length, _ in found:
