@@ -126,14 +126,20 @@ def prefix_code(lengths: tuple[int, ...]) -> Prefix:
     return Prefix(lengths)
 
 
-def _read_code(bits: Bits, size: int) -> Prefix:
+@lru_cache(maxsize=4096)
+def simple_code(size: int, first: int, second: int) -> Prefix:
+    """One symbol without a bit, or two of one bit."""
     lengths = [0] * size
+    lengths[first] = lengths[second] = 1
+    return prefix_code(tuple(lengths))
+
+
+def _read_code(bits: Bits, size: int) -> Prefix:
     if bits.read(1):
-        two = bits.read(1)
-        lengths[bits.read(8 if bits.read(1) else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return prefix_code(tuple(lengths))
+        two, wide = bits.read(1), bits.read(1)
+        first = bits.read(8 if wide else 1)
+        return simple_code(size, first, bits.read(8) if two else first)
+    lengths = [0] * size
     of_lengths = [0] * len(LENGTH_ORDER)
     n = 4 + bits.read(4)
     sizes = bits.read(3 * n)
@@ -239,6 +245,7 @@ def _read_tokens(bits: Bits, group: list[Prefix], width: int, total: int) -> np.
     pixels = np.zeros(total, np.uint32)
     plain = all(c.single is not None for c in group[1:4])
     ground = np.uint32(group[3].single << 24 | group[1].single << 16 | group[2].single) if plain else np.uint32(0)
+    literal = int(group[0].symbols.max()) < 256
     at = 0
     while at < total:
         first = bits.at >> 3
@@ -259,7 +266,7 @@ def _read_tokens(bits: Bits, group: list[Prefix], width: int, total: int) -> np.
             alpha, last = group[3].at(words[behind + size + more])
             colours = alpha.astype(np.uint32) << 24 | red.astype(np.uint32) << 16 | symbols.astype(np.uint32) << 8 | blue.astype(np.uint32)
             behind = np.where(symbols < 256, behind + size + more + last, behind)
-        far = np.flatnonzero(symbols >= 256)
+        far = np.flatnonzero(symbols >= 256) if not literal else ()
         if len(far):
             place = far + sizes[far]
             lengths, more = _extra(symbols[far] - 256, words[place])
@@ -272,6 +279,15 @@ def _read_tokens(bits: Bits, group: list[Prefix], width: int, total: int) -> np.
         np.minimum(behind, n, out=steps[:n])
         steps[n] = n
         taken = _walk(steps)
+        if literal:
+            taken = taken[: total - at]
+            found = symbols[taken].astype(np.uint32)
+            pixels[at : at + len(taken)] = (ground | found << np.uint32(8)) if plain else colours[taken]
+            at += len(taken)
+            bits.at += int(behind[taken[-1]])
+            if bits.at > end:
+                raise ValueError("the stream ends early")
+            continue
         kinds = symbols[taken]
         if (kinds < 256).all():
             counts = np.ones(len(taken), np.int64)
