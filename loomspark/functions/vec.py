@@ -130,6 +130,36 @@ def bezier_tangent(p: tuple[Vec, Vec, Vec, Vec], t: str) -> Vec:
     return tuple("(" + " + ".join(f"{w[k]} * ({p[k + 1][i]} - {p[k][i]})" for k in range(3)) + ")" for i in range(3))
 
 
+def path_linear(a: Vec, b: Vec, t: str) -> Vec:
+    return add(a, scale(sub(b, a), t))
+
+
+def path_bezier(a: Vec, tangent_a: Vec, b: Vec, tangent_b: Vec, t: str) -> Vec:
+    """Between two nodes of a path: handles stand a third of the chord along the tangents."""
+    third = f"{length(sub(b, a))} / 3"
+    return bezier((a, add(a, scale(tangent_a, third)), sub(b, scale(tangent_b, third)), b), t)
+
+
+def transformed(rows: tuple[Vec, Vec, Vec], v: Vec) -> Vec:
+    """The product of a matrix, given by rows, and a vector."""
+    return tuple(dot(row, v) for row in rows)
+
+
+def determinant(rows: tuple[Vec, Vec, Vec]) -> str:
+    return dot(rows[0], cross(rows[1], rows[2]))
+
+
+def inverse(rows: tuple[Vec, Vec, Vec]) -> tuple[Vec, Vec, Vec]:
+    """Rows of the inverse; null where there is none."""
+    a, b, c = rows
+    columns = cross(b, c), cross(c, a), cross(a, b)
+    return tuple(tuple(f"({column[i]} / nullif({determinant(rows)}, 0))" for column in columns) for i in range(3))
+
+
+def round_half_away(x: str) -> str:
+    return f"CAST(sign({x}) * floor(abs({x}) + 0.5) AS INT)"
+
+
 def frame(tangent: Vec, up: Vec) -> tuple[Vec, Vec]:
     """(up at right angles to the tangent, side); ``tangent`` has length one."""
     flat = normalise(sub(up, scale(tangent, dot(tangent, up))))

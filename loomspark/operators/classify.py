@@ -17,6 +17,8 @@ from loomspark.operators.plan import settle
 
 #: Buckets along each axis of the images' extent.
 BUCKETS = 16
+#: Rows of boxes under buckets, about 80 bytes each, that are sent to every task at most.
+MOST_LISTED = 500_000
 
 
 def images(yarns: DataFrame) -> DataFrame:
@@ -53,12 +55,16 @@ def classify(points: DataFrame, yarns: DataFrame, key: str = "vid", extent=((0.0
     """
     found = images(yarns)
     few = _few(found)
+    paths = found.select("yarn_id", "image", "nodes", "section")
     if pruning:
-        at, boxes = _bucketed(points, found, *extent)
-        met = at.select(key, "x", "y", "z", "bucket").join(F.broadcast(boxes) if few else boxes, "bucket").where("x BETWEEN lox AND hix AND y BETWEEN loy AND hiy AND z BETWEEN loz AND hiz")
+        # boxes alone are listed under buckets, paths are brought to those that are met
+        at, boxes = _bucketed(points, found.select("yarn_id", "image", *(f"{e}{c}" for e in ("lo", "hi") for c in "xyz")), *extent)
+        met = at.select(key, "x", "y", "z", "bucket").join(F.broadcast(boxes) if few and boxes.count() <= MOST_LISTED else boxes, "bucket")
+        met = met.where("x BETWEEN lox AND hix AND y BETWEEN loy AND hiy AND z BETWEEN loz AND hiz").select(key, "x", "y", "z", "yarn_id", "image")
+        met = met.join(F.broadcast(paths) if few else paths, ["yarn_id", "image"])
     else:
         # the rule itself compares every point with every yarn here
-        met = points.select(key, "x", "y", "z").join(F.broadcast(found) if few else found)
+        met = points.select(key, "x", "y", "z").join(F.broadcast(paths) if few else paths)
     near = "array_min(transform(nodes, (n, i) -> named_struct('d', pow(x - n.x, 2) + pow(y - n.y, 2) + pow(z - n.z, 2), 'i', i)))"
     met = settle(met.select(key, "x", "y", "z", "yarn_id", "image", "nodes", "section"), near=F.expr(near))
     met = settle(met, n=F.expr("nodes[near.i]"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions import polygons
-from loomspark.operators.classify import _bucketed, _few, images
+from loomspark.operators.classify import MOST_LISTED, _bucketed, _few, images
 from loomspark.operators.plan import settle
 
 #: Halvings of a segment: the place is known to a millionth of a millionth of it.
@@ -33,9 +33,13 @@ def hits(points: DataFrame, yarns: DataFrame, key: str = "vid", extent=((0.0, 0.
     """Every (point, yarn, image) that meets: key, yarn_id, image, u, v, distance, tx, ty, tz, t (segment + share)."""
     found = segments(yarns)
     few = _few(images(yarns))
-    at, boxes = _bucketed(points, found, *extent)
-    met = at.select(key, "x", "y", "z", "bucket").join(F.broadcast(boxes) if few else boxes, "bucket")
-    met = met.where("x BETWEEN lox AND hix AND y BETWEEN loy AND hiy AND z BETWEEN loz AND hiz")
+    place, box = ["yarn_id", "image", "segment"], [f"{e}{c}" for e in ("lo", "hi") for c in "xyz"]
+    # boxes alone are listed under buckets, segments are brought to those that are met
+    at, boxes = _bucketed(points, found.select(*place, *box), *extent)
+    met = at.select(key, "x", "y", "z", "bucket").join(F.broadcast(boxes) if few and boxes.count() <= MOST_LISTED else boxes, "bucket")
+    met = met.where("x BETWEEN lox AND hix AND y BETWEEN loy AND hiy AND z BETWEEN loz AND hiz").select(key, "x", "y", "z", *place)
+    whole = found.drop(*box)
+    met = met.join(F.broadcast(whole) if few else whole, place)
     mix = lambda c, u: f"(a_{c} + (b_{c} - a_{c}) * ({u}))"
     across = lambda u: "(" + " + ".join(f"({c} - {mix(c, u)}) * {mix(f't{c}', u)}" for c in "xyz") + ")"
     met = settle(met, low=F.expr(across("0D")), high=F.expr(across("1D"))).where("low >= 0 AND high <= 0")

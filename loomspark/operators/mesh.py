@@ -36,6 +36,12 @@ def volume(nodes: DataFrame, triangles: DataFrame) -> DataFrame:
     return at.agg(F.expr(f"sum({triple}) / 6").alias("volume"))
 
 
+def _behind(rows: DataFrame, id_: str) -> int:
+    """The number behind the largest id; 0 without rows."""
+    largest = rows.agg(F.max(id_)).first()[0]
+    return 0 if largest is None else largest + 1
+
+
 def concatenate(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """One mesh of several; ids move up by the largest before them."""
     nodes = elements = None
@@ -45,8 +51,8 @@ def concatenate(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, Da
         shifted = e.select((F.col("elem_id") + e_off).alias("elem_id"), F.expr(f"transform(nodes, i -> i + {n_off}L)").alias("nodes"))
         nodes = moved if nodes is None else nodes.unionByName(moved)
         elements = shifted if elements is None else elements.unionByName(shifted)
-        n_off += (n.agg(F.max("node_id")).first()[0] or -1) + 1
-        e_off += (e.agg(F.max("elem_id")).first()[0] or -1) + 1
+        n_off += _behind(n, "node_id")
+        e_off += _behind(e, "elem_id")
     return nodes, elements
 
 
@@ -168,23 +174,58 @@ def tributary_areas(nodes: DataFrame, triangles: DataFrame) -> DataFrame:
     return triangles.select("elem_id", F.explode("nodes").alias("node_id")).join(sized, "elem_id").groupBy("node_id").agg(F.sum("third").alias("area"))
 
 
-#: How elements are cut: places of the parts' nodes.
+#: How elements are cut: (type of the part, places of its nodes). Corners and their order belong to the element types.
 SPLITS = {
-    "hex_to_tet": ((0, 1, 3, 4), (1, 2, 3, 6), (1, 6, 4, 5), (3, 4, 6, 7), (1, 3, 4, 6)),
-    "hex_to_wedge": ((0, 1, 2, 4, 5, 6), (0, 2, 3, 4, 6, 7)),
-    "hex_to_quad": HEX_FACES,
-    "wedge_to_tet": ((0, 1, 2, 3), (1, 2, 3, 4), (2, 3, 4, 5)),
-    "pyramid_to_tet": ((0, 1, 2, 4), (0, 2, 3, 4)),
-    "tet_to_triangle": ((0, 2, 1), (0, 1, 3), (1, 2, 3), (2, 0, 3)),
-    "quad_to_triangle": ((0, 1, 2), (0, 2, 3)),
-    "triangle_to_segment": ((0, 1), (1, 2), (2, 0)),
+    "hex_to_wedge": (("WEDGE", (4, 5, 6, 0, 1, 2)), ("WEDGE", (6, 7, 4, 2, 3, 0))),
+    "wedge_to_tet_and_pyramid": (("TET", (3, 4, 5, 2)), ("PYRAMID", (0, 1, 4, 3, 2))),
+    "pyramid_to_tet": (("TET", (1, 2, 3, 4)), ("TET", (3, 0, 1, 4))),
+    "quad_to_triangle": (("TRI", (0, 1, 2)), ("TRI", (0, 2, 3))),
+    "hex_to_quad": tuple(("QUAD", f) for f in ((3, 2, 1, 0), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7), (4, 5, 6, 7))),
+    "wedge_to_surface": (("TRI", (0, 1, 2)), ("QUAD", (1, 0, 3, 4)), ("QUAD", (2, 1, 4, 5)), ("QUAD", (0, 2, 5, 3)), ("TRI", (5, 4, 3))),
+    "pyramid_to_surface": (("QUAD", (3, 2, 1, 0)), ("TRI", (0, 1, 4)), ("TRI", (1, 2, 4)), ("TRI", (2, 3, 4)), ("TRI", (3, 0, 4))),
+    "tet_to_triangle": tuple(("TRI", f) for f in ((2, 1, 0), (0, 1, 3), (1, 2, 3), (2, 0, 3))),
+    "triangle_to_segment": (("LINE", (0, 1)), ("LINE", (1, 2)), ("LINE", (2, 0))),
 }
+#: Cuts along the other diagonal, from node 0 to 2 or from 1 to 3.
+_ALONG_02 = {"pyramid_to_tet": (("TET", (0, 1, 2, 4)), ("TET", (0, 2, 3, 4))), "quad_to_triangle": SPLITS["quad_to_triangle"]}
+_ALONG_13 = {"pyramid_to_tet": SPLITS["pyramid_to_tet"], "quad_to_triangle": (("TRI", (1, 2, 3)), ("TRI", (3, 0, 1)))}
+#: Cuts that are two, one behind the other: the first one's parts of a type are cut by the second.
+CHAINS = {"wedge_to_tet": ("wedge_to_tet_and_pyramid", "PYRAMID", "pyramid_to_tet"), "hex_to_tet": ("hex_to_wedge", "WEDGE", "wedge_to_tet")}
+
 
+def _cut(splits) -> str:
+    """SQL of an element's parts, from its ``nodes``."""
+    return "array(" + ", ".join(f"named_struct('type', '{kind}', 'nodes', array({', '.join(f'nodes[{k}]' for k in part)}))" for kind, part in splits) + ")"
 
-def split(elements: DataFrame, how: str) -> DataFrame:
-    """(elem_id, part, nodes) by one of SPLITS."""
-    parts = F.array(*(F.array(*(F.col("nodes")[k] for k in part)) for part in SPLITS[how]))
-    return elements.select("elem_id", F.posexplode(parts).alias("part", "nodes"))
+
+def split(elements: DataFrame, how: str, nodes: DataFrame | None = None) -> DataFrame:
+    """(elem_id, part, type, nodes) of elements (elem_id, nodes), by one of SPLITS or CHAINS; parts are numbered within an element.
+
+    With ``nodes`` (node_id, x, y, z) pyramids and quads are cut along the shorter one of their diagonals (from 1 to 3 if both are equal).
+    """
+    if how in CHAINS:
+        first, kind, second = CHAINS[how]
+        rows = split(elements, first, nodes).withColumn("path", F.struct("elem_id", "part"))
+        further = split(rows.where(F.col("type") == kind).select(F.col("path").alias("elem_id"), "nodes"), second, nodes)
+        whole = rows.where(F.col("type") != kind).select("path", F.lit(-1).alias("own"), "type", "nodes")
+        both = whole.unionByName(further.select(F.col("elem_id").alias("path"), F.col("part").alias("own"), "type", "nodes"))
+        # an element has a handful of parts: they are put in order within its own row
+        ordered = both.groupBy(F.col("path.elem_id").alias("elem_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("path.part").alias("part"), "own", "type", "nodes"))).alias("parts"))
+        return ordered.select("elem_id", F.posexplode("parts").alias("part", "p")).select("elem_id", "part", "p.type", "p.nodes")
+    if nodes is None or how not in _ALONG_02:
+        return elements.select("elem_id", F.posexplode(F.expr(_cut(SPLITS[how]))).alias("part", "p")).select("elem_id", "part", "p.type", "p.nodes")
+    ends = elements.select("elem_id", "nodes", F.posexplode(F.slice("nodes", 1, 4)).alias("k", "node_id")).join(nodes, "node_id")
+    at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    length = lambda i, j: sum((at(i, c) - at(j, c)) * (at(i, c) - at(j, c)) for c in "xyz")
+    shorter = ends.groupBy("elem_id").agg(F.first("nodes").alias("nodes"), (length(0, 2) < length(1, 3)).alias("along_02"))
+    parts = F.when(F.col("along_02"), F.expr(_cut(_ALONG_02[how]))).otherwise(F.expr(_cut(_ALONG_13[how])))
+    return shorter.select("elem_id", F.posexplode(parts).alias("part", "p")).select("elem_id", "part", "p.type", "p.nodes")
+
+
+def most_common(rows: DataFrame, group: list[str], value: str, order: str) -> DataFrame:
+    """(group, value): the most frequent value; of several the one that comes first by ``order``, and then the least."""
+    counts = rows.groupBy(*group, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    return counts.groupBy(*group).agg(F.min(F.struct(-F.col("n"), "first", F.col(value).alias("value"))).alias("m")).select(*group, "m.value")
 
 
 def owners_of_faces(surface: DataFrame, elements: DataFrame) -> DataFrame:

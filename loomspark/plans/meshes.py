@@ -58,11 +58,14 @@ def a16_counts(spark, sf_dir):
     return triangles(spark, sf_dir).agg(F.count("*").alias("elements"), F.count_distinct(F.col("nodes")[0]).alias("first_nodes"))
 
 
-@register("a17_most_common", "SELECT l_suppkey, l_linenumber AS mode FROM (SELECT l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, min(l_orderkey)) AS r FROM lineitem GROUP BY 1, 2) WHERE r = 1")
+@register(
+    "a17_most_common",
+    "SELECT l_suppkey, l_linenumber AS mode FROM (SELECT l_suppkey, l_linenumber, rank() OVER (PARTITION BY l_suppkey ORDER BY n DESC, first, l_linenumber) AS r "
+    "FROM (SELECT l_suppkey, l_linenumber, count(*) AS n, min(l_orderkey * 100 + l_linenumber) AS first FROM lineitem GROUP BY 1, 2)) WHERE r = 1",
+)
 def a17_most_common(spark, sf_dir):
-    """The first of the most frequent values, in scan order."""
-    counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first"))
-    return counts.groupBy("l_suppkey").agg(F.max_by("l_linenumber", F.struct("n", -F.col("first"))).alias("mode"))
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey", "l_linenumber", "l_orderkey * 100 + l_linenumber AS place")
+    return mesh.most_common(rows, ["l_suppkey"], "l_linenumber", "place").withColumnRenamed("value", "mode")
 
 
 @register("a19_tributary_areas", f"""SELECT node_id, round(sum(third), 6) AS area FROM (SELECT unnest(nodes) AS node_id, sqrt(pow(uy * vz - uz * vy, 2) + pow(uz * vx - ux * vz, 2) + pow(ux * vy - uy * vx, 2)) / 6 AS third FROM
@@ -190,15 +193,43 @@ def j15_remap(spark, sf_dir):
     return mesh.remap(triangles(spark, sf_dir), mapping).select("elem_id", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ",").alias("nodes"))
 
 
-for _name, _parts in mesh.SPLITS.items():
-    _size = {"hex": 8, "wed": 6, "pyr": 5, "tet": 4, "qua": 4, "tri": 3}[_name[:3]]
-    _rows = ", ".join(f"({i}, [{', '.join(map(str, p))}])" for i, p in enumerate(_parts))
-
-    @register(f"i16_{_name}", f"SELECT elem_id, CAST(part AS INT) AS part, (SELECT sum(elem_id * 10 + k * k) FROM unnest(p) u(k))::BIGINT AS nodes FROM range(50) t(elem_id), (VALUES {_rows}) v(part, p)")
+# What each cut gives, part by part, the nodes being numbered from 0: written out, those of two steps too.
+_CUTS = {
+    "hex_to_wedge": (8, "4 5 6 0 1 2, 6 7 4 2 3 0"),
+    "wedge_to_tet_and_pyramid": (6, "3 4 5 2, 0 1 4 3 2"),
+    "wedge_to_tet": (6, "3 4 5 2, 1 4 3 2, 3 0 1 2"),
+    "hex_to_tet": (8, "0 1 2 6, 5 1 0 6, 0 4 5 6, 2 3 0 4, 7 3 2 4, 2 6 7 4"),
+    "hex_to_quad": (8, "3 2 1 0, 0 1 5 4, 1 2 6 5, 2 3 7 6, 3 0 4 7, 4 5 6 7"),
+    "wedge_to_surface": (6, "0 1 2, 1 0 3 4, 2 1 4 5, 0 2 5 3, 5 4 3"),
+    "pyramid_to_tet": (5, "1 2 3 4, 3 0 1 4"),
+    "pyramid_to_surface": (5, "3 2 1 0, 0 1 4, 1 2 4, 2 3 4, 3 0 4"),
+    "tet_to_triangle": (4, "2 1 0, 0 1 3, 1 2 3, 2 0 3"),
+    "quad_to_triangle": (4, "0 1 2, 0 2 3"),
+    "triangle_to_segment": (3, "0 1, 1 2, 2 0"),
+}
+_IN_ORDER = "array_join(transform(nodes, k -> CAST(k AS STRING)), ' ') AS nodes"
+for _name, (_size, _parts) in _CUTS.items():
+    _oracle = f"SELECT elem_id, CAST(i - 1 AS INTEGER) AS part, array_to_string(list_transform(string_split(p, ' '), lambda k: CAST(elem_id + CAST(k AS BIGINT) AS VARCHAR)), ' ') AS nodes FROM (SELECT s_suppkey * {_size} AS elem_id, unnest(string_split('{_parts}', ', ')) AS p, generate_subscripts(string_split('{_parts}', ', '), 1) AS i FROM supplier)"
+
+    @register(f"i16_{_name}", _oracle)
     def _query(spark, sf_dir, name=_name, size=_size):
-        """Each element's parts, by the sum of their nodes."""
-        elements = spark.range(50).selectExpr("id AS elem_id", f"transform(sequence(0, {size - 1}), k -> id * 10 + k * k) AS nodes")
-        return mesh.split(elements, name).selectExpr("elem_id", "part", "aggregate(nodes, 0L, (a, n) -> a + n) AS nodes")
+        """Each element's parts, with their nodes in order."""
+        elements = table(spark, sf_dir, "supplier").selectExpr(f"s_suppkey * {size} AS elem_id", f"transform(sequence(0, {size - 1}), k -> s_suppkey * {size} + k) AS nodes")
+        return mesh.split(elements, name).selectExpr("elem_id", "part", _IN_ORDER)
+
+
+@register(
+    "i16_quads_by_shorter_diagonal",
+    f"""SELECT q.elem_id, CAST(i - 1 AS INTEGER) AS part, CASE WHEN far02 < far13 THEN CASE i WHEN 1 THEN concat_ws(' ', n, n + 1, n + 2) ELSE concat_ws(' ', n, n + 2, n + 3) END
+        ELSE CASE i WHEN 1 THEN concat_ws(' ', n + 1, n + 2, n + 3) ELSE concat_ws(' ', n + 3, n, n + 1) END END AS nodes
+    FROM (SELECT a.node_id AS elem_id, a.node_id AS n, pow(a.x - c.x, 2) + pow(a.y - c.y, 2) + pow(a.z - c.z, 2) AS far02, pow(b.x - d.x, 2) + pow(b.y - d.y, 2) + pow(b.z - d.z, 2) AS far13
+        FROM {NODES} a JOIN {NODES} b ON b.node_id = a.node_id + 1 JOIN {NODES} c ON c.node_id = a.node_id + 2 JOIN {NODES} d ON d.node_id = a.node_id + 3) q, range(1, 3) r(i)""",
+)
+def i16_quads_by_shorter_diagonal(spark, sf_dir):
+    at = nodes(spark, sf_dir)
+    last = at.select((F.col("node_id") - 3).alias("elem_id"))
+    quads = at.select(F.col("node_id").alias("elem_id")).join(last, "elem_id").selectExpr("elem_id", "array(elem_id, elem_id + 1, elem_id + 2, elem_id + 3) AS nodes")
+    return mesh.split(quads, "quad_to_triangle", at.select("node_id", "x", "y", "z")).selectExpr("elem_id", "part", _IN_ORDER)
 
 
 @register("i8_smooth", f"WITH e AS (SELECT DISTINCT least(n0, n1) AS a, greatest(n0, n1) AS b FROM {TRIANGLES} WHERE n0 != n1), o AS (SELECT a, b FROM e UNION SELECT b, a FROM e), m AS (SELECT o.a, avg(x) AS mx FROM o JOIN {NODES} n ON n.node_id = o.b GROUP BY o.a) SELECT node_id, round(x + 0.5 * (coalesce(mx, x) - x), 7) AS x FROM {NODES} LEFT JOIN m ON m.a = node_id")
