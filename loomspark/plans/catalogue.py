@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from loomspark.plans import additions, fields, further, meshes, models, scalars, spatial  # noqa: F401
+from loomspark.plans import additions, fields, further, meshes, measured, models, scalars, spatial  # noqa: F401

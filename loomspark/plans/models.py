@@ -19,17 +19,6 @@ def paths(spark, sf_dir):
     return rows.agg(F.min("l_quantity").alias("x"), (F.min("l_discount") * 100).alias("y"), (F.min("l_tax") * 100).alias("z"))
 
 
-def sql(name: str, text: str, oracle: str | None = None, **only: str):
-    """A query that reads the same in both dialects but for ``{table}`` in place of table names."""
-    import re
-
-    tables = sorted(set(re.findall(r"\{(\w+)\}", text)))
-
-    @register(name, oracle or re.sub(r"\{(\w+)\}", r"\1", text))
-    def query(spark, sf_dir):
-        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in tables})
-
-
 @register("a5_yarn_length", f"SELECT yarn_id, round(sum(step), 6) AS length, count(*) AS nodes FROM {_STEP} GROUP BY yarn_id")
 def a5_yarn_length(spark, sf_dir):
     return yarns.steps(paths(spark, sf_dir)).groupBy("yarn_id").agg(F.round(F.sum("step"), 6).alias("length"), F.count("*").alias("nodes"))
@@ -51,17 +40,6 @@ def w2_resample(spark, sf_dir):
     return yarns.resample(paths(spark, sf_dir), 9).selectExpr("yarn_id", "j", "round(x, 5) AS x", "round(z, 5) AS z")
 
 
-sql("w8_a21_mid_points", "SELECT yarn_id, node_idx, round((x + lag(x) OVER (PARTITION BY yarn_id ORDER BY node_idx)) / 2, 6) AS mid FROM (SELECT l_orderkey AS yarn_id, l_linenumber AS node_idx, min(l_quantity) AS x FROM {lineitem} GROUP BY 1, 2)")
-sql("w5_stack_heights", "SELECT l_suppkey, l_linenumber, round(sum(h) OVER (PARTITION BY l_suppkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING), 6) AS top FROM (SELECT l_suppkey, l_linenumber, avg(l_quantity) AS h FROM {lineitem} GROUP BY 1, 2)")
-sql("w4_bracketing_sections", "SELECT o.l_orderkey, o.l_linenumber, max(CASE WHEN p.l_linenumber <= o.l_linenumber - 1 THEN p.l_linenumber END) AS below, min(CASE WHEN p.l_linenumber >= o.l_linenumber + 1 THEN p.l_linenumber END) AS above FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM {lineitem}) o JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM {lineitem}) p ON p.l_orderkey = o.l_orderkey GROUP BY 1, 2")
-sql("a6_textile_totals", "SELECT n_regionkey, round(CASE WHEN min(area) = 0 THEN 0 ELSE sum(len / nullif(area, 0)) END, 6) AS per_area, round(sum(len), 4) AS total FROM (SELECT n_regionkey, s_suppkey % 7 AS area, s_acctbal AS len FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey) GROUP BY n_regionkey")
-sql("a7_yarn_properties", "SELECT s_suppkey, round(coalesce(nullif(CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_acctbal END, 0), n_nationkey + 100.5), 6) AS density FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey")
-sql("a8_volume_fraction", "SELECT n_regionkey, round(sum((s_suppkey % 10) / 10.0 * s_acctbal) / sum(s_acctbal), 6) AS vf FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey GROUP BY n_regionkey")
-sql("a12_homogenised_constants", "SELECT l_suppkey, round(1 / nullif(max(CASE WHEN l_linenumber = 1 THEN s END), 0), 9) AS e1, round(-max(CASE WHEN l_linenumber = 2 THEN s END) / nullif(max(CASE WHEN l_linenumber = 1 THEN s END), 0), 9) AS nu12, round(1 / nullif(max(CASE WHEN l_linenumber = 4 THEN s END), 0), 9) AS g12 FROM (SELECT l_suppkey, l_linenumber, avg(l_quantity) AS s FROM {lineitem} GROUP BY 1, 2) GROUP BY l_suppkey")
-sql("a18_yarn_widths", "SELECT p_brand, round(avg(p_size), 6) AS mean_width, max(p_size) AS widest FROM {part} GROUP BY p_brand")
-sql("a23_benchmark_summary", "SELECT event_type, count(*) AS runs, min(value) AS fastest, round(avg(value), 6) AS mean, max(value) AS slowest FROM {events} GROUP BY event_type")
-sql("o2_sorted_by_height", "SELECT s_nationkey, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS INT) AS place FROM {supplier}")
-sql("o5_arg_min", "SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS r FROM {lineitem}) WHERE r = 1")
 @register("o7_closest_reed", "SELECT p_partkey, reed FROM (SELECT p_partkey, reed, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(p_size - reed), reed) AS r FROM part CROSS JOIN (VALUES (5), (12), (20), (31), (44)) v(reed)) WHERE r = 1")
 def o7_closest_reed(spark, sf_dir):
     """The nearest of a few reeds; the smaller of two as near. The reeds are in the expression, so nothing is joined."""
@@ -69,19 +47,6 @@ def o7_closest_reed(spark, sf_dir):
     return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{nearest} AS reed")
 
 
-sql("u15_contact_pairs", "SELECT DISTINCT least(l_partkey % 20, l_suppkey % 20) AS a, greatest(l_partkey % 20, l_suppkey % 20) AS b FROM {lineitem} WHERE l_partkey % 20 != l_suppkey % 20")
-sql("p11_pattern_validity", "SELECT s_nationkey AS pattern_row, count(DISTINCT n) = 1 AS valid FROM (SELECT s_nationkey, s_suppkey % 5 AS cell, count(*) AS n FROM {supplier} GROUP BY 1, 2) GROUP BY s_nationkey")
-sql("p12_repeat_is_end_to_end", "SELECT o_custkey, abs(max(o_totalprice) - min(o_totalprice) - 1000) < 1e-6 OR abs(max(o_totalprice) - min(o_totalprice) + 1000) < 1e-6 AS matches FROM {orders} GROUP BY o_custkey")
-sql("p13_boundary_cells", "SELECT vid, ix IN (0, 5) OR iy IN (0, 4) AS boundary FROM (SELECT s_suppkey AS vid, s_suppkey % 6 AS ix, s_suppkey % 5 AS iy FROM {supplier})")
-sql("p15_p16_select_sets", "SELECT p_name AS set_name, count(*) AS elements FROM {part} WHERE lower(p_name) LIKE '%anvil%' GROUP BY p_name")
-sql("f45_fibre_area", "SELECT p_partkey, round(CASE WHEN p_size % 4 = 0 THEN p_retailprice WHEN p_size % 4 = 1 THEN p_size * 3.141592653589793 * 0.0049 / 4 WHEN p_size % 4 = 2 THEN p_retailprice / 1.78 ELSE 0.0 END, 6) AS area FROM {part}")
-sql("f44_volume_fraction", "SELECT p_partkey, round(vf, 9) AS vf, vf < 0 OR vf > 0.86 AS suspect FROM (SELECT p_partkey, p_size / (p_retailprice / 10) AS vf FROM {part})")
-sql("f51_file_names", "SELECT p_partkey, replace(regexp_replace(p_name, '[.][^.]*$', ''), ' ', '_') AS name FROM {part}")
-sql("f18_palette", "SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 'red' WHEN 1 THEN 'green' WHEN 2 THEN 'blue' WHEN 3 THEN 'yellow' ELSE 'other' END AS colour FROM {part}")
-sql("f53_box_limits", "SELECT s_nationkey, max(CASE WHEN s_suppkey % 6 = 0 THEN s_acctbal END) AS lo_x, max(CASE WHEN s_suppkey % 6 = 1 THEN -s_acctbal END) AS hi_x FROM {supplier} GROUP BY s_nationkey")
-sql("j12_best_weight", "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY least(l_quantity, l_discount * 100, l_tax * 100) DESC, l_linenumber, l_extendedprice) AS r FROM {lineitem}) WHERE r = 1")
-sql("j22_nesting_gap", "SELECT layer, round(min(gap), 6) AS down FROM (SELECT l_linenumber AS layer, lead(bottom) OVER (PARTITION BY l_suppkey ORDER BY l_linenumber) - top AS gap FROM (SELECT l_suppkey, l_linenumber, 100.0 * l_linenumber + min(l_quantity) AS bottom, 100.0 * l_linenumber + max(l_quantity) AS top FROM {lineitem} GROUP BY 1, 2)) GROUP BY layer")
-sql("s8_event_properties", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events".replace("json_extract_string(props, '$.k')", "get_json_object(props, '$.k')").replace("FROM events", "FROM {events}"), oracle="SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 
 
 @register("f49_units", "SELECT p_partkey, round(p_size * f, 12) AS metres FROM part JOIN (VALUES (0, 1.0::DOUBLE), (1, 0.001::DOUBLE), (2, 0.000001::DOUBLE)) v(k, f) ON k = p_partkey % 3")
