@@ -47,8 +47,8 @@ def k21_draft_lines(spark, sf_dir):
 
 
 def _leaves(spark, sf_dir):
-    """A root of 4 x 4 x 4 cells, and under it a chain of splits towards each of the first suppliers' places."""
-    deep = table(spark, sf_dir, "supplier").where("s_suppkey <= 3").selectExpr("5 AS level", "s_suppkey * 37 % 128 AS ix", "s_suppkey * 53 % 128 AS iy", "s_suppkey * 71 % 128 AS iz")
+    """A root of 4 x 4 x 4 cells, and under it a chain of splits towards each supplier's place."""
+    deep = table(spark, sf_dir, "supplier").selectExpr("5 AS level", "s_suppkey * 37 % 128 AS ix", "s_suppkey * 53 % 128 AS iy", "s_suppkey * 71 % 128 AS iz").distinct()
     roots = spark.range(64).selectExpr("0 AS level", "id % 4 AS ix", "id div 4 % 4 AS iy", "id div 16 AS iz")
     cut = deep.selectExpr("0 AS level", "ix div 32 AS ix", "iy div 32 AS iy", "iz div 32 AS iz").distinct()
     return roots.join(cut, ["level", "ix", "iy", "iz"], "left_anti").unionByName(deep)
@@ -154,9 +154,9 @@ def w6_merged_levels(spark, sf_dir):
     return found.selectExpr("p_partkey", "CAST(size(levels) AS BIGINT) AS levels", "round(levels[1], 9) AS second")
 
 
-@register("p14_open_ends", "SELECT n AS node_id FROM (SELECT unnest([l_partkey % 97, 100 + l_suppkey % 13]) AS n FROM lineitem WHERE l_linenumber = 7) GROUP BY n HAVING count(*) = 1")
+@register("p14_open_ends", "SELECT n AS node_id FROM (SELECT unnest([l_partkey * 100 + l_suppkey % 100, 1000000000 + l_orderkey * 10 + l_linenumber]) AS n FROM lineitem) GROUP BY n HAVING count(*) = 1")
 def p14_open_ends(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").selectExpr("l_orderkey AS elem_id", "array(l_partkey % 97, 100 + l_suppkey % 13) AS nodes")
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS elem_id", "array(l_partkey * 100 + l_suppkey % 100, 1000000000 + l_orderkey * 10 + l_linenumber) AS nodes")
     return levels.open_ends(lines)
 
 
