@@ -34,6 +34,8 @@ WIDE_WORDS, ALIKE, PRINTS, SEGMENT, BYTES, HALVES = 5, 0.8, ("f0", "f1", "f2", "
 SKETCH = (*PRINTS, *BYTES, *HALVES)
 TABLES = 64 * len(PRINTS) // SEGMENT
 ANCHORS = TABLES + 16 * len(HALVES)
+#: Tables in which a text has an anchor in common with another one, at least, to be looked at.
+LEAST_SHARED = 6
 #: Bits of the fingerprints that differ and twice the marks that do, at most, in a candidate: at a similarity of 0.8
 #: 87 are expected, give or take 11.
 FAR = 112
@@ -288,7 +290,8 @@ def _met_before(x: str, y: str) -> str:
 def filed(nodes: DataFrame) -> DataFrame:
     """The tables' rows (table, anchor, segment, node, sketch) whose anchor some other node has in the same table, and the node's weight.
 
-    What has no anchor in common with anything has no similar text, and most rows haven't: only the rest is looked at further.
+    A text that has a similar one shares 13 of its 16 anchors, give or take 2; with fewer than ``LEAST_SHARED`` in common with
+    anything (one such text in 100,000) it has none, and most haven't: only the rest is looked at further.
     The weight is how many rows share a node's anchors in all: of a group of edited copies the least edited one has the most.
     """
     per_long = 64 // SEGMENT
@@ -296,7 +299,7 @@ def filed(nodes: DataFrame) -> DataFrame:
     keys = nodes.select("node", F.posexplode("anchors").alias("table", "anchor"))
     shared = keys.groupBy("table", "anchor").agg(F.count("*").alias("n")).where("n > 1")
     keys = keys.join(shared, ["table", "anchor"])
-    weighed = keys.groupBy("node").agg(F.sum("n").alias("weight"), F.collect_list(F.struct("table", "anchor")).alias("at")).join(nodes.select("node", *SKETCH), "node")
+    weighed = keys.groupBy("node").agg(F.sum("n").alias("weight"), F.collect_list(F.struct("table", "anchor")).alias("at")).where(F.size("at") >= LEAST_SHARED).join(nodes.select("node", *SKETCH), "node")
     return weighed.select("node", "weight", *SKETCH, F.inline("at")).withColumn("segment", F.expr(f"{segment}[table]"))
 
 
