@@ -54,6 +54,15 @@ def remove_dir(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files that only finished steps have read: its cleaner does so when the driver's garbage is
+    collected, which it might not be for long."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def running(steps: str) -> str:
     """SQL of the sums of the numbers before each one of the array ``steps``.
 

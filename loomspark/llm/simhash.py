@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import documents, ensure_checkpoint_dir, map_rows
+from loomspark.llm.common import documents, ensure_checkpoint_dir, free_shuffles, map_rows
 
 SEED = 42
 SHINGLE = 3
@@ -179,6 +179,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = small.select("u", F.col("m").alias("v")).unionAll(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct().checkpoint()
         now = _sum_of(small)
         edges, before, settled = small, now, now == before
+        del both, least, large, small
+        free_shuffles(edges.sparkSession)
         if settled:
             break
     else:
@@ -374,15 +376,29 @@ def _rooted(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     no pairs, and no link between groups is lost.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    every = sketches(df, doc_id, text).checkpoint()
-    nodes = every.dropDuplicates(["node"]).checkpoint()
-    rows = filed(nodes).checkpoint()
+    spark = df.sparkSession
+
+    def settled(rows: DataFrame) -> DataFrame:
+        out = rows.checkpoint()
+        del rows
+        free_shuffles(spark)
+        return out
+
+    every = settled(sketches(df, doc_id, text))
+    nodes = settled(every.dropDuplicates(["node"]))
+    rows = settled(filed(nodes))
     suspects = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "row")
-    texts = df.select(_row(doc_id, text).alias("row"), F.col(text).alias("text")).join(suspects, "row").select("node", "text").dropDuplicates(["node"]).checkpoint()
-    stars = alike(star_candidates(rows).checkpoint(), texts).checkpoint()
+    texts = settled(df.select(_row(doc_id, text).alias("row"), F.col(text).alias("text")).join(suspects, "row").select("node", "text").dropDuplicates(["node"]))
+    del suspects, nodes
+    stars = settled(alike(settled(star_candidates(rows)), texts))
     root = components(stars).withColumnRenamed("node", "_node")
-    placed = rows.join(root, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node").checkpoint()
-    root = components(stars.unionAll(alike(candidates(placed).checkpoint(), texts))).withColumnRenamed("node", "_node")
+    placed = settled(rows.join(root, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node"))
+    del rows, root
+    pairs = settled(candidates(placed))
+    del placed
+    linked = settled(alike(pairs, texts))
+    del pairs, texts
+    root = components(stars.unionAll(linked)).withColumnRenamed("node", "_node")
     return every.join(root, F.col("node") == F.col("_node"), "left").select("doc_id", "row", F.coalesce("root", "node").alias("root"))
 
 
@@ -403,6 +419,7 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     kept = _rooted(df, doc_id, text).groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("_row")).checkpoint()
+    free_shuffles(df.sparkSession)
     return df.withColumn("_row", _row(doc_id, text)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*df.columns)
 
 
